@@ -80,3 +80,25 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", r
         if seen == was:
             break
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def append_columns(docs: DataFrame, text_col: str, make, fields: list, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns ``keep``) with columns that ``make(list of bytes or None) -> list of arrays`` finds in each text.
+
+    ``make`` is called once per Arrow batch, in a map without a shuffle. Appended names start with
+    ``__`` so that they can't clash with columns of the input. Texts arrive as UTF-8 bytes.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    keep = docs.columns if keep is None else keep
+    inside = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("binary").alias("__bytes"))
+    schema = T.StructType([*docs.select(*(f"`{c}`" for c in keep)).schema.fields, *fields])
+    names = [*keep, *(f.name for f in fields)]
+
+    def run(batches):
+        for b in batches:
+            made = make(b.column(b.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=names)
+
+    return inside.mapInArrow(run, schema)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import BODY, CLOSE, OPEN, format_chats, read_chats, unescape
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .secrets import scan_secrets
+from .simhash import simhash_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that benchmark windows cover."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash and component of every document."""
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each conversation as read back from its formatted examples, conversation -7 among them."""
     control = "</s>[INST] ok [/INST]"
@@ -50,6 +62,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op7_decontamination": op7_decontamination,
+    "op8_simhash": op8_simhash,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -101,8 +115,31 @@ def _chat_sql() -> str:
     FROM n GROUP BY conv_id"""
 
 
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_CONTAMINATION_SQL = f"""WITH b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, list_slice(w, i, i + least(13, len(w)) - 1) AS win
+           FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+    d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+    ns AS (SELECT DISTINCT n FROM bw),
+    dw AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
+    m AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+    h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+    it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY doc_id),
+    -- longest run of equal words that a window begins: diagonals of item and document positions
+    bp AS (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM b WHERE item_id IN (SELECT item_id FROM m)),
+    dp AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM m)),
+    di AS (SELECT m.doc_id, m.item_id, dp.i, bp.j, i - row_number() OVER (PARTITION BY m.doc_id, m.item_id, dp.i - bp.j ORDER BY dp.i) AS g
+           FROM (SELECT DISTINCT doc_id, item_id FROM m) m JOIN dp USING (doc_id) JOIN bp ON bp.item_id = m.item_id AND bp.x = dp.x),
+    rn AS (SELECT doc_id, item_id, count(*) AS n FROM di GROUP BY doc_id, item_id, i - j, g),
+    lo AS (SELECT doc_id, max(rn.n) AS longest FROM rn JOIN b USING (item_id) WHERE rn.n >= least(13, len(b.w)) GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest, 0) AS longest
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN lo USING (doc_id)"""
+
 ORACLES = {
     "op2_secret_scan": _secret_sql(),
+    "op7_decontamination": _CONTAMINATION_SQL,
     "op9_chat_format": _chat_sql(),
     "op10_exact_dedup": r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
