@@ -1 +1,8 @@
 """Analytics over HTML elements as rows, on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel whole, so a cluster needs no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
