@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .chat_format import BODY, CLOSE, OPEN, format_chats, read_chats, unescape
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .language import identify
+from .packing import pack
 from .secrets import scan_secrets
 from .simhash import simhash_groups
 
@@ -21,6 +23,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that benchmark windows cover."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -62,6 +76,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_chat_format": op9_chat_format,
