@@ -12,12 +12,18 @@ from .language import identify
 from .packing import pack
 from .secrets import scan_secrets
 from .simhash import simhash_groups
+from .suffix_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that occur elsewhere."""
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secret spans, with owner-specific ones marked; owner is the source, repository the document."""
     return scan_secrets(_table(spark, sf_dir, "documents"))
@@ -75,6 +81,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
