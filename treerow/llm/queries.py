@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import warc
 from .chat_format import BODY, CLOSE, OPEN, format_chats, read_chats, unescape
+from .common import Scratch
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language import identify
@@ -29,6 +31,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from WARC files: its payload's size and digest, and which response a revisit refers to."""
+    scratch = Scratch(spark, "warc")
+    warc.write_captures(_table(spark, sf_dir, "pages"), scratch.path("archive"))
+    records = warc.read_records(spark, scratch.path("archive"), with_payload=False)
+    # written once, as the joins below read the records several times
+    records = scratch.write(records, "records")
+    captures = warc.resolve_revisits(warc.transactions(records))
+    page = lambda c: F.col(f"{c}.fields")["page-id"].cast("long")
+    return captures.select(
+        page("metadata").alias("page_id"),
+        F.coalesce("capture.payload_bytes", "original.payload_bytes").alias("payload_bytes"),
+        F.col("capture.payload_digest").alias("payload_digest"),
+        F.col("capture.warc_type").alias("record_type"),
+        page("original.metadata").alias("refers_to"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -83,6 +103,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_warc": op3_warc,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
