@@ -11,6 +11,7 @@ from .common import Scratch
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language import identify
+from .line_dedup import dedup_lines
 from .packing import pack
 from .secrets import scan_secrets
 from .simhash import simhash_groups
@@ -49,6 +50,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when near-duplicate lines of the corpus stay once."""
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_kept").alias("n_kept"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -104,6 +114,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_warc": op3_warc,
+    "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
