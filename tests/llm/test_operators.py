@@ -148,7 +148,8 @@ def test_warc(spark, docs):
     records = warc.read_records(spark, scratch.path("a"))
     kinds = collections.Counter(r.warc_type for r in records.collect())
     assert kinds["request"] == kinds["metadata"] == len(made) and kinds["response"] + kinds["revisit"] == len(made)
-    out = warc.resolve_revisits(warc.transactions(records)).collect()
+    captures = warc.transactions(records)
+    out = warc.resolve_revisits(captures, warc.originals(captures)).collect()
     got = [(int(x) if (x := r.metadata.fields["page-id"]) else None, r.capture.payload_digest, r.capture.warc_type, r.original and int(r.original.metadata.fields["page-id"])) for r in out]
     first = {}
     for i, _, h in made:

@@ -39,7 +39,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_records(spark, scratch.path("archive"), with_payload=False)
     # written once, as the joins below read the records several times
     records = scratch.write(records, "records")
-    captures = warc.resolve_revisits(warc.transactions(records))
+    captures = warc.transactions(records)
+    captures = warc.resolve_revisits(captures, scratch.write(warc.originals(captures), "originals"))
     page = lambda c: F.col(f"{c}.fields")["page-id"].cast("long")
     return captures.select(
         page("metadata").alias("page_id"),

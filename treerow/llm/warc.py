@@ -154,7 +154,18 @@ def transactions(records: DataFrame) -> DataFrame:
     return out.drop("request_of", "metadata_of")
 
 
-def resolve_revisits(captures: DataFrame) -> DataFrame:
-    """Transactions with ``original``: the response (record id, metadata, payload_bytes) that a revisit refers to."""
-    responses = captures.filter(F.col("capture.warc_type") == "response").select(F.col("capture.record_id").alias("original_id"), F.struct("capture.payload_bytes", "metadata").alias("original")).dropDuplicates(["original_id"])
-    return captures.join(responses, F.col("capture.refers_to") == F.col("original_id"), "left").drop("original_id")
+def originals(captures: DataFrame) -> DataFrame:
+    """(original_id, original): payload_bytes and metadata of each response, once per record id."""
+    responses = captures.filter(F.col("capture.warc_type") == "response")
+    return responses.select(F.col("capture.record_id").alias("original_id"), F.struct("capture.payload_bytes", "metadata").alias("original")).dropDuplicates(["original_id"])
+
+
+def resolve_revisits(captures: DataFrame, responses: DataFrame) -> DataFrame:
+    """Transactions with ``original``: what originals() has of the response that a revisit refers to.
+
+    Given as a table, both sides of the join are dealt anew, so the many revisits of one response can be
+    split. A response looks itself up, so that its missing reference is not a key that all share.
+    """
+    key = F.coalesce("capture.refers_to", "capture.record_id")
+    found = captures.withColumn("__key", key).join(responses, F.col("__key") == F.col("original_id"), "left")
+    return found.withColumn("original", F.when(F.col("capture.refers_to").isNotNull(), F.col("original"))).drop("__key", "original_id")
