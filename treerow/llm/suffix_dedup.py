@@ -195,9 +195,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = SPAN, gram: in
     kind = docs.schema["doc_id"].dataType.simpleString()
     strips = scratch.write(docs.select("doc_id", "h", F.col("t").cast("binary").alias("t")).mapInArrow(cut, f"doc_id {kind}, h long, at long, windows int, place int, anchor long, strip long"), "strips")
     often = strips.groupBy("anchor").agg(F.count("*").alias("n"), F.min("strip").alias("lo"), F.max("strip").alias("hi")).filter("n > 1")
-    often = often.select("anchor", "n", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # a table of its own, so that the join below deals both sides and can split a hot anchor's strips
+    often = scratch.write(often.select("anchor", "n", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
     again = scratch.write(strips.join(often, "anchor"), "again")
-    scratch.drop("strips")
+    scratch.drop("strips", "often")
 
     mixed = again.filter("mixed")
     one = mixed.groupBy("anchor", "strip").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.min(F.struct("doc_id", "h", "at", "windows", "place")).alias("o"))
