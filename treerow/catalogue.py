@@ -226,7 +226,7 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "show_input": _meta("SHOW INPUT"),
     "show_inputs": _meta("SHOW INPUTS"),
     "describe_language": _meta("DESCRIBE language"),
-    # number words, the reference load
+    # number words, a page of many cards
     "khmer_numbers": (_numbers, None),
     "bench_cards_minified": (_cards("INNER_HTML"), "SELECT '<h2> Title ' || i || ' </h2><p> Summary line ' || i || ' with spaces </p>' AS inner_html FROM range(2000) t(i)"),
     "bench_cards_raw": (_cards("RAW_INNER_HTML"), "SELECT chr(10) || '    <h2> Title ' || i || ' </h2>' || chr(10) || '    <p>   Summary line   ' || i || '   with spaces   </p>' || chr(10) || '  ' AS raw_inner_html FROM range(2000) t(i)"),
