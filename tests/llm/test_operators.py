@@ -198,7 +198,7 @@ def test_line_dedup(spark):
     rng = random.Random(4)
     body = [" ".join(rng.choice(sum(WORDS.values(), [])) for _ in range(14)) for _ in range(60)]
     made = [(i, "\n".join(rng.sample(body, 5))) for i in range(20)]
-    made += [(i + 50, made[i][1].replace("stone", "stome").upper()) for i in range(10)] + [(80, ""), (81, "\n \n"), (82, "a\nA \nb"), (83, body[0] + " more words of it"), (84, "y" * 30_000 + "\nend")]
+    made += [(i + 50, made[i][1].replace("stone", "stome").upper()) for i in range(10)] + [(80, ""), (81, "\n \n"), (82, "a\nA \nb\nxxabxxxxxxxxx\nxxabxxxx\nab"), (83, body[0] + " more words of it"), (84, "y" * 30_000 + "\nend")]
     out = line_dedup.dedup_lines(spark.createDataFrame([(*r, "x") for r in made], "doc_id long, text string, d string"))
     assert out.columns[:3] == ["doc_id", "text", "d"]
     same([(r.doc_id, r.text) for r in out.collect()], brute_lines(made))

@@ -40,11 +40,18 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()  # the context cleaner frees shuffles of dead plans
         return self.spark.read.schema(schema).parquet(path)
 
+    def _files(self):
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path, files = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path, self._files()[1]
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            files.delete(path(self.path(name)), True)
+
+    def drop_all_but(self, *names: str) -> None:
+        root, files = self._files()
+        self.drop(*({f.getPath().getName() for f in files.listStatus(root)} - set(names)))
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
@@ -69,16 +76,19 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", r
         if not seen[0]:
             break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join deals both sides anew and can split a node of very many edges
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}{i}_least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: every edge of large points down (u > v)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         now = scratch.write(small, f"{name}{i}")
-        scratch.drop(f"{name}{i - 1}")
+        scratch.drop(f"{name}{i - 1}", f"{name}{i}_least")
         was, seen = seen, mark(now)
         if seen == was:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
 
-#: Characters of a shingle, and the Jaccard similarity from which lines are near duplicates.
-SHINGLE, SIMILAR = 8, 0.8
-#: Min-hashes, and the triples of them that make a band: lines at the threshold share one of 8 with probability 0.99.
+#: Characters (UTF-16 units) of a shingle, and the Jaccard similarity, as a fraction, from which lines are near duplicates.
+SHINGLE, SIMILAR = 8, (4, 5)
+#: Min-hashes, and the triples of them that make a band: lines at the threshold share one of 10 with probability 0.998.
 HASHES = 16
-BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (15, 0, 3), (6, 9, 12), (15, 7, 13))
+BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (15, 0, 3), (6, 9, 12), (15, 7, 13), (1, 4, 8), (2, 5, 11))
 _STEP = 4096
+#: Words of a line's bitmap of shingles, a power of two.
+WORDS = 32
 
 
 def _signed(x: int) -> int:
@@ -23,53 +25,98 @@ def _signed(x: int) -> int:
 _MASKS = [_signed(0x9E3779B97F4A7C15 * (2 * k + 1)) for k in range(HASHES)]
 
 
-def _grams(points: str) -> str:
-    """SQL: the distinct shingle hashes of a line's UTF-32 bytes, a column that is read from a table."""
-    q = 4 * SHINGLE
-    return f"array_distinct(transform(sequence(0, greatest(cast(octet_length({points}) / 4 as int) - {SHINGLE}, 0)), i -> xxhash64(substring({points}, 4 * i + 1, {q}))))"
+def _id() -> Column:
+    return F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
 
 
-def _id() -> Column:
-    return F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
+def _grams(line: str) -> str:
+    """SQL: hashes of a line's shingles. The lambdas bind the bytes, so that a line is encoded once."""
+    return f"transform(array(encode({line}, 'UTF-16BE')), p -> transform(sequence(0, greatest(cast(octet_length(p) / 2 as int) - {SHINGLE}, 0)), i -> xxhash64(substring(p, 2 * i + 1, {2 * SHINGLE}))))[0]"
+
+
+def _may_be_near(n: str, bits: str, m: str, other: str) -> str:
+    """SQL: false only where two lines can't be near, by their numbers of shingles and bitmaps of those.
+
+    A bit that only one line has stands for a shingle, at least, that the other lacks. That bounds the
+    shingles in common from above, so no near pair is lost.
+    """
+    lacks = lambda p, q: f"aggregate(zip_with({p}, {q}, (x, y) -> bit_count(x & ~y)), 0, (s, c) -> s + c)"
+    common = f"least({n} - {lacks(bits, other)}, {m} - {lacks(other, bits)})"
+    return f"{common} * {SIMILAR[0] + SIMILAR[1]} >= ({n} + {m}) * {SIMILAR[0]}"
+
+
+class _Similarity:
+    """Exact Jaccard similarity of pairs (u, v) of ids of candidate lines."""
+
+    def __init__(self, lines: DataFrame, ids: DataFrame, scratch: Scratch):
+        found = lines.join(ids.hint("shuffle_hash"), ["h1", "h2"]).dropDuplicates(["id"])
+        found = scratch.write(found.select("id", "h1", "h2", "s", F.expr(f"size(array_distinct({_grams('s')}))").alias("n")), "found")
+        bits = found.select("id", F.explode(F.expr(_grams("s"))).alias("g")).groupBy("id", F.col("g").bitwiseAND(WORDS - 1).cast("int").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(g, 58) as int))")).alias("w"))
+        bits = bits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
+        bits = bits.select("id", F.expr(f"transform(sequence(0, {WORDS - 1}), k -> coalesce(m[k], 0L))").alias("bits"))
+        self.texts = scratch.write(found.join(bits, "id"), "texts")
+        scratch.drop("found")
+        self.u, self.v = (self.texts.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("s", "n", "bits"))) for k in "uv")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are near duplicates."""
+        both = pairs.join(self.u, "u").join(self.v, "v").filter(F.expr(_may_be_near("nu", "bitsu", "nv", "bitsv"))).drop("bitsu", "bitsv")
+        sizes = both.select("u", "v", "nu", "nv", F.expr(f"size(array_intersect({_grams('su')}, {_grams('sv')}))").alias("z"))
+        return sizes.filter(F.col("z") * SIMILAR[1] >= (F.col("nu") + F.col("nv") - F.col("z")) * SIMILAR[0]).select("u", "v")
 
 
 def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(h1, h2, r1, r2): the component (r1, r2) of each line hash that has near duplicates.
 
-    ``lines`` has h1, h2 and the normalised line s. Equal lines are one node throughout. In a bucket of a
-    band, every line is compared with the bucket's smallest; a line that is not similar to it is compared
-    with every other of the bucket. Lines similar to the smallest are connected through it already, so no
-    link between components is lost, and a bucket of near copies costs one comparison a line.
+    ``lines`` has h1, h2 and the normalised line s; equal lines are one node throughout. In a band's
+    bucket all lines are compared with a centre, the line that meets most others, and those that aren't near
+    it with a centre of their own. Of the other pairs, those that these links connect already, or whose
+    bitmaps show that too few shingles can be shared, are skipped; the rest are compared. So no link between
+    components is lost, and a bucket of near copies costs one comparison a line.
     """
-    points = lines.select("h1", "h2", F.encode("s", "UTF-32").alias("p"), F.greatest(F.length("s") - SHINGLE, F.lit(0)).alias("n"))
+    points = lines.select("h1", "h2", F.encode("s", "UTF-16BE").alias("p"))
+    points = points.select("h1", "h2", "p", F.greatest(F.expr("cast(octet_length(p) / 2 as int)") - SHINGLE, F.lit(0)).alias("n"))
     steps = points.select("h1", "h2", "p", "n", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(_STEP))).alias("j"))
     places = steps.select("h1", "h2", "p", F.explode(F.sequence(F.col("j"), F.least(F.col("j") + (_STEP - 1), F.col("n")))).alias("i"))
-    hashes = places.select("h1", "h2", F.expr(f"xxhash64(substring(p, 4 * i + 1, {4 * SHINGLE}))").alias("g"))
+    hashes = places.select("h1", "h2", F.expr(f"xxhash64(substring(p, 2 * i + 1, {2 * SHINGLE}))").alias("g"))
     # the min-hash of permutation k is the least hash after an exclusive or with a constant
     mins = hashes.groupBy("h1", "h2").agg(*(F.min(F.col("g").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)))
     signed = scratch.write(mins.select("h1", "h2", *(F.xxhash64(F.lit(b), *(f"m{k}" for k in ks)).alias(f"b{b}") for b, ks in enumerate(BANDS))), "signatures")
     rows = signed.select("h1", "h2", F.explode(F.array(*(f"b{b}" for b in range(len(BANDS))))).alias("bucket"))
-    often = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = scratch.write(rows.join(often, "bucket", "left_semi").withColumn("id", _id()), "buckets")
-    scratch.drop("signatures")
-
-    ids = buckets.select("h1", "h2", "id").distinct()
-    texts = scratch.write(lines.join(ids, ["h1", "h2"]).dropDuplicates(["id"]).select("id", "h1", "h2", F.encode("s", "UTF-32").alias("p")), "texts")
-    a, b = texts.select(F.col("id").alias("u"), F.col("p").alias("pu")), texts.select(F.col("id").alias("v"), F.col("p").alias("pv"))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        sets = pairs.join(a, "u").join(b, "v").select("u", "v", F.expr(_grams("pu")).alias("gu"), F.expr(_grams("pv")).alias("gv"))
-        sizes = sets.select("u", "v", F.size("gu").alias("x"), F.size("gv").alias("y"), F.size(F.array_intersect("gu", "gv")).alias("z"))
-        return sizes.filter(F.col("z") >= SIMILAR * (F.col("x") + F.col("y") - F.col("z"))).select("u", "v")
-
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("u"))
-    star = buckets.select("bucket", F.col("id").alias("v")).join(least, "bucket").filter("u <> v")
-    close = scratch.write(similar(star.select("u", "v").distinct()), "close")
-    apart = scratch.write(star.join(close, ["u", "v"], "left_anti").select("bucket", F.col("u").alias("least"), F.col("v").alias("x")), "apart")
-    rest = apart.join(buckets.select("bucket", F.col("id").alias("y")), "bucket").filter("x <> y and y <> least")
-    more = scratch.write(similar(rest.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()), "more")
-    parts = connected_components(close.union(more), scratch, "components")
-    named = texts.select("id", "h1", "h2")
+    often = scratch.write(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    buckets = scratch.write(rows.join(often.hint("shuffle_hash"), "bucket").select("bucket", "h1", "h2", "n"), "buckets")
+    scratch.drop("signatures", "often")
+
+    # a line that meets most others is the likeliest original of a group of copies
+    weights = scratch.write(buckets.groupBy("h1", "h2").agg(F.sum("n").alias("w")), "weights")
+    members = scratch.write(buckets.join(weights, ["h1", "h2"]).select("bucket", _id().alias("x"), "w"), "members")
+    similarity = _Similarity(lines, buckets.select("h1", "h2", _id().alias("id")).distinct(), scratch)
+
+    def star(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Each row's line against the weightiest of its bucket: the near pairs, and (bucket, x, w, near, centre)."""
+        centres = scratch.write(rows.groupBy("bucket").agg(F.max(F.struct("w", "x")).alias("c")).select("bucket", F.col("c.x").alias("u")), f"{name}_centres")
+        pairs = rows.select("bucket", F.col("x").alias("v"), "w").join(centres, "bucket")
+        links = scratch.write(similarity.near(pairs.filter("u <> v").select("u", "v").distinct()), name)
+        out = pairs.join(links.withColumn("near", F.lit(True)), ["u", "v"], "left")
+        centre = F.col("u") == F.col("v")
+        return links, scratch.write(out.select("bucket", F.col("v").alias("x"), "w", (F.coalesce("near", F.lit(False)) | centre).alias("near"), centre.alias("centre")), f"{name}_rows")
+
+    first, first_rows = star(members, "first")
+    second, second_rows = star(first_rows.filter("not near").select("bucket", "x", "w"), "second")
+    known = connected_components(first.union(second), scratch, "known")
+    known = scratch.write(known.select(F.col("node").alias("x"), "root"), "known")
+    # all of a bucket that has lines apart: side 1 is near the first centre, the rest were compared with the second
+    apart = second_rows.select("bucket", "x", F.col("centre").alias("centre2"))
+    placed = first_rows.filter("not centre").join(apart.select("bucket").distinct(), "bucket", "left_semi").join(apart, ["bucket", "x"], "left")
+    placed = placed.join(known, "x", "left").select("bucket", "x", "near", F.coalesce("centre2", F.lit(False)).alias("centre2"), F.coalesce("root", "x").alias("root"))
+    placed = scratch.write(placed.join(similarity.texts.select(F.col("id").alias("x"), "n", "bits"), "x"), "placed")
+    a, b = placed.filter("not near"), placed.select(F.col("bucket").alias("bucket_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "near", "centre2", "root", "n", "bits")))
+    once = F.col("near_b") | (F.col("x") < F.col("x_b")) & ~F.col("centre2") & ~F.col("centre2_b")
+    rest = a.join(b, (F.col("bucket") == F.col("bucket_b")) & (F.col("root") != F.col("root_b")) & once & F.expr(_may_be_near("n", "bits", "n_b", "bits_b")))
+    more = scratch.write(similarity.near(rest.select(F.least("x", "x_b").alias("u"), F.greatest("x", "x_b").alias("v")).distinct()), "more")
+    edges = known.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v")).union(more)
+    parts = connected_components(edges, scratch, "components")
+    named = similarity.texts.select("id", "h1", "h2")
     roots = parts.join(named, parts["node"] == named["id"]).select("h1", "h2", "root")
     return scratch.write(roots.join(named.select(F.col("id").alias("root"), F.col("h1").alias("r1"), F.col("h2").alias("r2")), "root").select("h1", "h2", "r1", "r2"), "near")
 
@@ -90,13 +137,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("s", F.lower(F.trim("s")))
     lines = rows.select("d", "h", "line", "s", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"))
     near = near_lines(lines.filter("s <> ''").select("h1", "h2", "s"), scratch)
-    scratch.drop("buckets", "texts")
+    scratch.drop_all_but("near")
 
     places = scratch.write(lines.select("d", "h", "line", F.when(F.col("s") != "", F.col("h1")).alias("h1"), F.when(F.col("s") != "", F.col("h2")).alias("h2")), "places")
-    placed = places.join(near, ["h1", "h2"], "left").select("d", "h", "line", F.coalesce("r1", "h1").alias("c1"), F.coalesce("r2", "h2").alias("c2"))
+    placed = places.filter("h1 is not null").join(near, ["h1", "h2"], "left").select("d", "h", "line", F.coalesce("r1", "h1").alias("c1"), F.coalesce("r2", "h2").alias("c2"))
     order = F.struct(F.isnull("d").alias("none"), "d", "h", "line")
-    first = placed.filter("c1 is not null").groupBy("c1", "c2").agg(F.min(order).alias("f"), F.count("*").alias("n")).filter("n > 1").select("c1", "c2", "f")
+    # a table of its own, so that the join deals both sides and can split a very common line
+    first = scratch.write(placed.groupBy("c1", "c2").agg(F.min(order).alias("f"), F.count("*").alias("n")).filter("n > 1").select("c1", "c2", "f"), "firsts")
     judged = placed.join(first, ["c1", "c2"], "left").select("d", "h", "line", (F.col("f").isNull() | (order == F.col("f"))).alias("keep"))
+    judged = judged.union(places.filter("h1 is null").select("d", "h", "line", F.lit(True)))
     flags = judged.groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("line", "keep"))).alias("f"), F.bool_and("keep").alias("all")).filter("not all")
     flags = scratch.write(flags.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("f.keep").alias("__keep")), "flags")
 
