@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +12,12 @@ from .common import Scratch, connected_components
 
 #: Characters (UTF-16 units) of a shingle, and the Jaccard similarity, as a fraction, from which lines are near duplicates.
 SHINGLE, SIMILAR = 8, (4, 5)
-#: Min-hashes, and the triples of them that make a band: lines at the threshold share one of 10 with probability 0.998.
-HASHES = 16
-BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (15, 0, 3), (6, 9, 12), (15, 7, 13), (1, 4, 8), (2, 5, 11))
+#: Min-hashes, and the triples of them that make a band, each hash in two: lines at the threshold share a band with probability 0.98.
+HASHES = 12
+BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
+#: Bits of each min-hash in a line's sketch, and the min-hashes that must agree where many lines of a bucket are apart (0.996 do at the threshold).
+SLOT, AGREE = 5, 6
 _STEP = 4096
-#: Words of a line's bitmap of shingles, a power of two.
-WORDS = 32
 
 
 def _signed(x: int) -> int:
@@ -25,8 +28,20 @@ def _signed(x: int) -> int:
 _MASKS = [_signed(0x9E3779B97F4A7C15 * (2 * k + 1)) for k in range(HASHES)]
 
 
-def _id() -> Column:
-    return F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
+@contextmanager
+def _one_level_maps(spark):
+    """Aggregates of many keys, none of which repeats for long, skip the small map in front of the hash map."""
+    name = "spark.sql.codegen.aggregate.map.twolevel.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def _id(h1: str, h2: str) -> Column:
+    return F.unhex(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
 
 
 def _grams(line: str) -> str:
@@ -34,35 +49,30 @@ def _grams(line: str) -> str:
     return f"transform(array(encode({line}, 'UTF-16BE')), p -> transform(sequence(0, greatest(cast(octet_length(p) / 2 as int) - {SHINGLE}, 0)), i -> xxhash64(substring(p, 2 * i + 1, {2 * SHINGLE}))))[0]"
 
 
-def _may_be_near(n: str, bits: str, m: str, other: str) -> str:
-    """SQL: false only where two lines can't be near, by their numbers of shingles and bitmaps of those.
-
-    A bit that only one line has stands for a shingle, at least, that the other lacks. That bounds the
-    shingles in common from above, so no near pair is lost.
-    """
-    lacks = lambda p, q: f"aggregate(zip_with({p}, {q}, (x, y) -> bit_count(x & ~y)), 0, (s, c) -> s + c)"
-    common = f"least({n} - {lacks(bits, other)}, {m} - {lacks(other, bits)})"
-    return f"{common} * {SIMILAR[0] + SIMILAR[1]} >= ({n} + {m}) * {SIMILAR[0]}"
+def _near(a: str, b: str) -> Column:
+    """Whether two lines' sets of shingles have similarity SIMILAR, exactly."""
+    both = f"transform(array(struct({_grams(a)} as x, {_grams(b)} as y)), g -> size(array_intersect(g.x, g.y)) * {SIMILAR[1]} >= size(array_union(g.x, g.y)) * {SIMILAR[0]})[0]"
+    return F.expr(both)
 
 
-class _Similarity:
-    """Exact Jaccard similarity of pairs (u, v) of ids of candidate lines."""
+def _agree(a: str, b: str) -> Column:
+    """Whether AGREE slots of two sketches are equal at least; equal min-hashes always are."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    same = [(F.shiftrightunsigned(x, SLOT * k).bitwiseAND((1 << SLOT) - 1) == 0).cast("int") for k in range(HASHES)]
+    return reduce(lambda p, q: p + q, same) >= AGREE
 
-    def __init__(self, lines: DataFrame, ids: DataFrame, scratch: Scratch):
-        found = lines.join(ids.hint("shuffle_hash"), ["h1", "h2"]).dropDuplicates(["id"])
-        found = scratch.write(found.select("id", "h1", "h2", "s", F.expr(f"size(array_distinct({_grams('s')}))").alias("n")), "found")
-        bits = found.select("id", F.explode(F.expr(_grams("s"))).alias("g")).groupBy("id", F.col("g").bitwiseAND(WORDS - 1).cast("int").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(g, 58) as int))")).alias("w"))
-        bits = bits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
-        bits = bits.select("id", F.expr(f"transform(sequence(0, {WORDS - 1}), k -> coalesce(m[k], 0L))").alias("bits"))
-        self.texts = scratch.write(found.join(bits, "id"), "texts")
-        scratch.drop("found")
-        self.u, self.v = (self.texts.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("s", "n", "bits"))) for k in "uv")
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are near duplicates."""
-        both = pairs.join(self.u, "u").join(self.v, "v").filter(F.expr(_may_be_near("nu", "bitsu", "nv", "bitsv"))).drop("bitsu", "bitsv")
-        sizes = both.select("u", "v", "nu", "nv", F.expr(f"size(array_intersect({_grams('su')}, {_grams('sv')}))").alias("z"))
-        return sizes.filter(F.col("z") * SIMILAR[1] >= (F.col("nu") + F.col("nv") - F.col("z")) * SIMILAR[0]).select("u", "v")
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(h1, h2, sketch, b0, b1, ...) of each distinct line: hashes of its bands, and SLOT bits of each min-hash."""
+    points = lines.select("h1", "h2", F.encode("s", "UTF-16BE").alias("p"))
+    points = points.select("h1", "h2", "p", F.greatest(F.expr("cast(octet_length(p) / 2 as int)") - SHINGLE, F.lit(0)).alias("n"))
+    steps = points.select("h1", "h2", "p", "n", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(_STEP))).alias("j"))
+    places = steps.select("h1", "h2", "p", F.explode(F.sequence(F.col("j"), F.least(F.col("j") + (_STEP - 1), F.col("n")))).alias("i"))
+    hashes = places.select("h1", "h2", F.expr(f"xxhash64(substring(p, 2 * i + 1, {2 * SHINGLE}))").alias("g"))
+    # the min-hash of permutation k is the least hash after an exclusive or with a constant
+    mins = hashes.groupBy("h1", "h2").agg(*(F.min(F.col("g").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)))
+    sketch = reduce(lambda p, q: p.bitwiseOR(q), (F.shiftleft(F.xxhash64(f"m{k}").bitwiseAND((1 << SLOT) - 1), SLOT * k) for k in range(HASHES)))
+    return mins.select("h1", "h2", sketch.alias("sketch"), *(F.xxhash64(F.lit(b), *(f"m{k}" for k in ks)).alias(f"b{b}") for b, ks in enumerate(BANDS)))
 
 
 def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -70,33 +80,31 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``lines`` has h1, h2 and the normalised line s; equal lines are one node throughout. In a band's
     bucket all lines are compared with a centre, the line that meets most others, and those that aren't near
-    it with a centre of their own. Of the other pairs, those that these links connect already, or whose
-    bitmaps show that too few shingles can be shared, are skipped; the rest are compared. So no link between
-    components is lost, and a bucket of near copies costs one comparison a line.
+    it with a centre of their own; these links give components. Only buckets that then still hold lines of
+    several components are looked at again: of their pairs, those of one component, those that were compared
+    already, and those whose sketches agree in fewer than AGREE min-hashes are left; the rest are compared
+    where they meet, so that only near pairs leave the join.
     """
-    points = lines.select("h1", "h2", F.encode("s", "UTF-16BE").alias("p"))
-    points = points.select("h1", "h2", "p", F.greatest(F.expr("cast(octet_length(p) / 2 as int)") - SHINGLE, F.lit(0)).alias("n"))
-    steps = points.select("h1", "h2", "p", "n", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(_STEP))).alias("j"))
-    places = steps.select("h1", "h2", "p", F.explode(F.sequence(F.col("j"), F.least(F.col("j") + (_STEP - 1), F.col("n")))).alias("i"))
-    hashes = places.select("h1", "h2", F.expr(f"xxhash64(substring(p, 2 * i + 1, {2 * SHINGLE}))").alias("g"))
-    # the min-hash of permutation k is the least hash after an exclusive or with a constant
-    mins = hashes.groupBy("h1", "h2").agg(*(F.min(F.col("g").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)))
-    signed = scratch.write(mins.select("h1", "h2", *(F.xxhash64(F.lit(b), *(f"m{k}" for k in ks)).alias(f"b{b}") for b, ks in enumerate(BANDS))), "signatures")
-    rows = signed.select("h1", "h2", F.explode(F.array(*(f"b{b}" for b in range(len(BANDS))))).alias("bucket"))
+    with _one_level_maps(scratch.spark):
+        signed = scratch.write(_signatures(lines), "signatures")
+    rows = signed.select("h1", "h2", "sketch", F.explode(F.array(*(f"b{b}" for b in range(len(BANDS))))).alias("bucket"))
     often = scratch.write(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "often")
-    buckets = scratch.write(rows.join(often.hint("shuffle_hash"), "bucket").select("bucket", "h1", "h2", "n"), "buckets")
+    met = rows.join(often.hint("shuffle_hash"), "bucket")
+    # a line's buckets are few; a line that meets most others is the likeliest original of a group of copies
+    found = met.groupBy("h1", "h2").agg(F.first("sketch").alias("sketch"), F.sum("n").alias("w"), F.collect_list("bucket").alias("buckets"))
+    found = scratch.write(found.select(_id("h1", "h2").alias("x"), "h1", "h2", "sketch", "w", "buckets"), "found")
     scratch.drop("signatures", "often")
-
-    # a line that meets most others is the likeliest original of a group of copies
-    weights = scratch.write(buckets.groupBy("h1", "h2").agg(F.sum("n").alias("w")), "weights")
-    members = scratch.write(buckets.join(weights, ["h1", "h2"]).select("bucket", _id().alias("x"), "w"), "members")
-    similarity = _Similarity(lines, buckets.select("h1", "h2", _id().alias("id")).distinct(), scratch)
+    named = found.select(F.col("x"), "h1", "h2")
+    texts = scratch.write(lines.join(named.hint("shuffle_hash"), ["h1", "h2"]).select("x", "s").dropDuplicates(["x"]), "texts")
+    members = found.select(F.explode("buckets").alias("bucket"), "x", "w")
 
     def star(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Each row's line against the weightiest of its bucket: the near pairs, and (bucket, x, w, near, centre)."""
         centres = scratch.write(rows.groupBy("bucket").agg(F.max(F.struct("w", "x")).alias("c")).select("bucket", F.col("c.x").alias("u")), f"{name}_centres")
-        pairs = rows.select("bucket", F.col("x").alias("v"), "w").join(centres, "bucket")
-        links = scratch.write(similarity.near(pairs.filter("u <> v").select("u", "v").distinct()), name)
+        pairs = scratch.write(rows.select("bucket", F.col("x").alias("v"), "w").join(centres, "bucket"), f"{name}_pairs")
+        wanted = pairs.filter("u <> v").select("u", "v").distinct()
+        both = wanted.join(texts.select(F.col("x").alias("v"), F.col("s").alias("sv")), "v").join(texts.select(F.col("x").alias("u"), F.col("s").alias("su")), "u")
+        links = scratch.write(both.filter(_near("su", "sv")).select("u", "v"), name)
         out = pairs.join(links.withColumn("near", F.lit(True)), ["u", "v"], "left")
         centre = F.col("u") == F.col("v")
         return links, scratch.write(out.select("bucket", F.col("v").alias("x"), "w", (F.coalesce("near", F.lit(False)) | centre).alias("near"), centre.alias("centre")), f"{name}_rows")
@@ -105,20 +113,23 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     second, second_rows = star(first_rows.filter("not near").select("bucket", "x", "w"), "second")
     known = connected_components(first.union(second), scratch, "known")
     known = scratch.write(known.select(F.col("node").alias("x"), "root"), "known")
-    # all of a bucket that has lines apart: side 1 is near the first centre, the rest were compared with the second
+    # all of a bucket that has several lines apart or a component besides: near lines were compared with the first centre, the rest with both
     apart = second_rows.select("bucket", "x", F.col("centre").alias("centre2"))
-    placed = first_rows.filter("not centre").join(apart.select("bucket").distinct(), "bucket", "left_semi").join(apart, ["bucket", "x"], "left")
+    placed = first_rows.filter("not centre").join(apart, ["bucket", "x"], "left")
     placed = placed.join(known, "x", "left").select("bucket", "x", "near", F.coalesce("centre2", F.lit(False)).alias("centre2"), F.coalesce("root", "x").alias("root"))
-    placed = scratch.write(placed.join(similarity.texts.select(F.col("id").alias("x"), "n", "bits"), "x"), "placed")
-    a, b = placed.filter("not near"), placed.select(F.col("bucket").alias("bucket_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "near", "centre2", "root", "n", "bits")))
+    placed = scratch.write(placed, "roots")
+    several = scratch.write(placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("bucket"), "several")
+    placed = placed.join(several, "bucket", "left_semi").join(found.select("x", "sketch"), "x").join(texts, "x")
+    placed = scratch.write(placed, "placed")
+    a, b = placed.filter("not near"), placed.select(F.col("bucket").alias("bucket_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "near", "centre2", "root", "sketch", "s")))
     once = F.col("near_b") | (F.col("x") < F.col("x_b")) & ~F.col("centre2") & ~F.col("centre2_b")
-    rest = a.join(b, (F.col("bucket") == F.col("bucket_b")) & (F.col("root") != F.col("root_b")) & once & F.expr(_may_be_near("n", "bits", "n_b", "bits_b")))
-    more = scratch.write(similarity.near(rest.select(F.least("x", "x_b").alias("u"), F.greatest("x", "x_b").alias("v")).distinct()), "more")
+    open_ = once & (F.col("root") != F.col("root_b")) & _agree("sketch", "sketch_b")
+    rest = a.join(b, (F.col("bucket") == F.col("bucket_b")) & open_ & F.when(open_, _near("s", "s_b")).otherwise(False))
+    more = scratch.write(rest.select(F.least("root", "root_b").alias("u"), F.greatest("root", "root_b").alias("v")).distinct(), "more")
     edges = known.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v")).union(more)
     parts = connected_components(edges, scratch, "components")
-    named = similarity.texts.select("id", "h1", "h2")
-    roots = parts.join(named, parts["node"] == named["id"]).select("h1", "h2", "root")
-    return scratch.write(roots.join(named.select(F.col("id").alias("root"), F.col("h1").alias("r1"), F.col("h2").alias("r2")), "root").select("h1", "h2", "r1", "r2"), "near")
+    roots = parts.join(named.withColumnRenamed("x", "node"), "node").select("h1", "h2", "root")
+    return scratch.write(roots.join(named.select(F.col("x").alias("root"), F.col("h1").alias("r1"), F.col("h2").alias("r2")), "root").select("h1", "h2", "r1", "r2"), "near")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,29 +143,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    h = F.xxhash64(F.col(f"`{text_col}`"))
-    rows = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("d"), h.alias("h"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("line", "s"))
-    rows = rows.withColumn("s", F.lower(F.trim("s")))
+    text = F.col(f"`{text_col}`")
+    h = F.xxhash64(text)
+    rows = docs.filter(text.isNotNull()).select(F.col(f"`{id_col}`").alias("d"), h.alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("line", "s"))
+    rows = rows.withColumn("s", F.lower(F.trim("s"))).filter("s <> ''")
     lines = rows.select("d", "h", "line", "s", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"))
-    near = near_lines(lines.filter("s <> ''").select("h1", "h2", "s"), scratch)
+    near = near_lines(lines.select("h1", "h2", "s"), scratch)
     scratch.drop_all_but("near")
 
-    places = scratch.write(lines.select("d", "h", "line", F.when(F.col("s") != "", F.col("h1")).alias("h1"), F.when(F.col("s") != "", F.col("h2")).alias("h2")), "places")
-    placed = places.filter("h1 is not null").join(near, ["h1", "h2"], "left").select("d", "h", "line", F.coalesce("r1", "h1").alias("c1"), F.coalesce("r2", "h2").alias("c2"))
+    places = scratch.write(lines.drop("s"), "places")
     order = F.struct(F.isnull("d").alias("none"), "d", "h", "line")
-    # a table of its own, so that the join deals both sides and can split a very common line
-    first = scratch.write(placed.groupBy("c1", "c2").agg(F.min(order).alias("f"), F.count("*").alias("n")).filter("n > 1").select("c1", "c2", "f"), "firsts")
-    judged = placed.join(first, ["c1", "c2"], "left").select("d", "h", "line", (F.col("f").isNull() | (order == F.col("f"))).alias("keep"))
-    judged = judged.union(places.filter("h1 is null").select("d", "h", "line", F.lit(True)))
-    flags = judged.groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("line", "keep"))).alias("f"), F.bool_and("keep").alias("all")).filter("not all")
-    flags = scratch.write(flags.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("f.keep").alias("__keep")), "flags")
+    # the first place of each class of several places, by the line hashes that are in it
+    own = places.groupBy("h1", "h2").agg(F.min(order).alias("f"), F.count("*").alias("n"))
+    own = own.join(near, ["h1", "h2"], "left").filter("n > 1 or r1 is not null")
+    own = scratch.write(own.select("h1", "h2", "f", F.coalesce("r1", "h1").alias("c1"), F.coalesce("r2", "h2").alias("c2")), "own")
+    least = own.groupBy("c1", "c2").agg(F.min("f").alias("f"))
+    first = scratch.write(own.drop("f").join(least, ["c1", "c2"]).select("h1", "h2", "f"), "firsts")
+    # only what goes is dealt by document; the hashes' table is of its own, so that the join can split a very common line
+    gone = places.join(first, ["h1", "h2"]).filter(order != F.col("f")).groupBy("d", "h").agg(F.collect_set("line").alias("gone"))
+    gone = scratch.write(gone.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("gone").alias("__gone")), "gone")
+    scratch.drop("near", "places", "own", "firsts")
 
     marked = docs.withColumn("__hash", h)
-    out = marked.join(flags, marked[f"`{id_col}`"].eqNullSafe(flags["__d"]) & (marked["__hash"] == flags["__h"]), "left")
-    split = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    # keep flags line up with the lines: zipped, filtered, and only the lines taken
-    zipped = F.arrays_zip(split.alias("s"), F.col("__keep").alias("k"))
-    lines_kept = F.transform(F.filter(F.transform(zipped, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"))), lambda x: x["k"]), lambda x: x["s"])
-    out = out.withColumn("__lines", F.when(F.col("__keep").isNull(), split).otherwise(lines_kept)).withColumn("__n_lines", F.size(split))
-    kept = [F.when(F.col("__keep").isNull(), F.col(f"`{c}`")).otherwise(F.array_join("__lines", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*kept, F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.col("__n_lines")).cast("long").alias("__n_lines"), F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("__n_kept"))
+    out = marked.join(gone, marked[f"`{id_col}`"].eqNullSafe(gone["__d"]) & (marked["__hash"] == gone["__h"]), "left")
+    split = F.split(text, "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))  # numbers are distinct, so the order stays
+    kept = F.transform(F.array(split), lambda s: F.transform(left, lambda i: F.get(s, i)))[0]
+    out = out.withColumn("__lines", F.when(F.col("__gone").isNull(), split).otherwise(kept)).withColumn("__n_lines", F.size(split))
+    columns = [F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(F.array_join("__lines", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns, F.when(text.isNull(), 0).otherwise(F.col("__n_lines")).cast("long").alias("__n_lines"), F.when(text.isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("__n_kept"))
