@@ -15,8 +15,8 @@ SHINGLE, SIMILAR = 8, (4, 5)
 #: Min-hashes, and the triples of them that make a band, each hash in two: lines at the threshold share a band with probability 0.98.
 HASHES = 12
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
-#: Bits of each min-hash in a line's sketch, and the min-hashes that must agree where many lines of a bucket are apart (0.996 do at the threshold).
-SLOT, AGREE = 5, 6
+#: Bits of each min-hash in a line's sketch, and the min-hashes that must agree where many lines of a bucket are apart (0.98 do at the threshold).
+SLOT, AGREE = 5, 7
 _STEP = 4096
 
 
@@ -46,7 +46,7 @@ def _id(h1: str, h2: str) -> Column:
 
 def _grams(line: str) -> str:
     """SQL: hashes of a line's shingles. The lambdas bind the bytes, so that a line is encoded once."""
-    return f"transform(array(encode({line}, 'UTF-16BE')), p -> transform(sequence(0, greatest(cast(octet_length(p) / 2 as int) - {SHINGLE}, 0)), i -> xxhash64(substring(p, 2 * i + 1, {2 * SHINGLE}))))[0]"
+    return f"transform(array(encode({line}, 'UTF-16BE')), p -> transform(sequence(1, greatest(octet_length(p) - {2 * SHINGLE - 1}, 1), 2), i -> xxhash64(substring(p, i, {2 * SHINGLE}))))[0]"
 
 
 def _near(a: str, b: str) -> Column:
@@ -83,7 +83,7 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     it with a centre of their own; these links give components. Only buckets that then still hold lines of
     several components are looked at again: of their pairs, those of one component, those that were compared
     already, and those whose sketches agree in fewer than AGREE min-hashes are left; the rest are compared
-    where they meet, so that only near pairs leave the join.
+    where they meet, once, in the least bucket that they share, so that only near pairs leave the join.
     """
     with _one_level_maps(scratch.spark):
         signed = scratch.write(_signatures(lines), "signatures")
@@ -119,12 +119,13 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     placed = placed.join(known, "x", "left").select("bucket", "x", "near", F.coalesce("centre2", F.lit(False)).alias("centre2"), F.coalesce("root", "x").alias("root"))
     placed = scratch.write(placed, "roots")
     several = scratch.write(placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("bucket"), "several")
-    placed = placed.join(several, "bucket", "left_semi").join(found.select("x", "sketch"), "x").join(texts, "x")
+    placed = placed.join(several, "bucket", "left_semi").join(found.select("x", "sketch", "buckets"), "x").join(texts, "x")
     placed = scratch.write(placed, "placed")
-    a, b = placed.filter("not near"), placed.select(F.col("bucket").alias("bucket_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "near", "centre2", "root", "sketch", "s")))
+    a, b = placed.filter("not near"), placed.select(F.col("bucket").alias("bucket_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "near", "centre2", "root", "sketch", "buckets", "s")))
     once = F.col("near_b") | (F.col("x") < F.col("x_b")) & ~F.col("centre2") & ~F.col("centre2_b")
     open_ = once & (F.col("root") != F.col("root_b")) & _agree("sketch", "sketch_b")
-    rest = a.join(b, (F.col("bucket") == F.col("bucket_b")) & open_ & F.when(open_, _near("s", "s_b")).otherwise(False))
+    open_ = F.when(open_, F.array_min(F.array_intersect("buckets", "buckets_b")) == F.col("bucket")).otherwise(False)
+    rest = a.join(b, (F.col("bucket") == F.col("bucket_b")) & F.when(open_, _near("s", "s_b")).otherwise(False))
     more = scratch.write(rest.select(F.least("root", "root_b").alias("u"), F.greatest("root", "root_b").alias("v")).distinct(), "more")
     edges = known.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v")).union(more)
     parts = connected_components(edges, scratch, "components")
