@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ END = 1
 MERGE = 8
 #: Public pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs that make one piece of so many characters: the fast merges would take the square of their length, or give up.
+_LONG = re.compile(r"\s{4096}|\S{4096}")
 _SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
 
 
@@ -22,7 +25,8 @@ class Encoder:
     """Ids of a byte-level BPE vocabulary (the text of its tokenizers JSON), add_special_tokens=False.
 
     The merges run in tiktoken, which gives the same ids several times faster; a text that holds a
-    special token's string, which tokenizers maps to its own id, is encoded by tokenizers.
+    special token's string, which tokenizers maps to its own id, or a very long run without a break, is
+    encoded by tokenizers.
     """
 
     def __init__(self, source: str):
@@ -39,7 +43,7 @@ class Encoder:
         self.exact = Tokenizer.from_str(source)
 
     def __call__(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= 4096 and _LONG.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -142,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def finish(block, held):
         made, out, rest, base = 0, [], [], (1 << 62) + (block << 32)
         by_class: dict[int, list] = {}
-        for row in sorted(held, key=lambda r: (r[6], r[7], r[0] is None, r[0] or 0, r[1])):
+        for row in sorted(held, key=lambda r: (r[6], r[7], r[0] is None, "" if r[0] is None else r[0], r[1])):
             by_class.setdefault(row[6], []).append((*row[:5], row[8]))
         for k, pieces in by_class.items():
             whole = len(pieces) // k * k
