@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,14 +62,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return append_columns(docs, text_col, make_fingerprints(width), [T.StructField("__fp", T.LongType())], keep or [id_col])
 
 
+def _balls(fps, radius: int):
+    """Sets that hold every linked pair, from radius + 1 blocks of the bits that vary; none if one of them is over half of fps.
+
+    The distance within a block never exceeds the whole distance, and a linked pair's is zero in one block
+    at least, so it lies in one ball of distance zero around a vantage value of that block.
+    """
+    import numpy as np
+
+    vary = int(np.bitwise_or.reduce(fps) ^ np.bitwise_and.reduce(fps))
+    bits = [b for b in range(BITS) if vary >> b & 1]
+    if len(bits) <= radius:
+        return []
+    out, n = [], radius + 1
+    for k in range(n):
+        block = bits[len(bits) * k // n : len(bits) * (k + 1) // n]
+        value = fps & np.uint64(sum(1 << b for b in block))
+        order = np.argsort(value, kind="stable")
+        cut = np.flatnonzero(np.diff(value[order])) + 1
+        parts = np.split(fps[order], cut)
+        if max(map(len, parts)) > len(fps) // 2:
+            return []
+        out += [p for p in parts if len(p) > 1]
+    return out
+
+
 def linked_pairs(fps, radius: int, depth: int = 0):
     """Edges that join the distinct fingerprints ``fps`` (uint64) as all pairs within radius do.
 
     A set of up to LEAF is compared at once. A larger one is split by distance to a vantage point: both
     of a pair are at most at the median, or else both are above the median less the radius (triangle
-    bound), so two overlapping halves hold every pair. Where the split doesn't shrink the set (a dense
-    cluster), a search from fingerprint to fingerprint looks only at rings within the radius of it and
-    drops what is already joined, so a cluster costs one pass per member over what is left.
+    bound), so two overlapping halves hold every pair. Random fingerprints are all about as far apart, so
+    that the halves overlap almost whole; those go to balls of distance zero in single blocks of bits
+    (``_balls``). Where these don't shrink the set either (a dense cluster), a search from fingerprint to
+    fingerprint looks only at rings within the radius of it and drops what is already joined, so a cluster
+    costs one pass per member over what is left.
     """
     import numpy as np
 
@@ -87,8 +117,11 @@ def linked_pairs(fps, radius: int, depth: int = 0):
     d = np.bitwise_count(fps ^ vantage).astype(np.int64)
     middle = int(np.median(d))
     low, high = fps[d <= middle], fps[d > middle - radius]
-    if max(len(low), len(high)) <= 0.9 * m:
+    if max(len(low), len(high)) <= 0.6 * m:
         return linked_pairs(low, radius, depth + 1) + linked_pairs(high, radius, depth + 1)
+    groups = _balls(fps, radius)
+    if groups:
+        return [e for g in groups for e in linked_pairs(g, radius, depth + 1)]
     rings = [fps[d == k] for k in range(BITS + 1)]
     edges = []
     for k in range(BITS + 1):
@@ -105,27 +138,38 @@ def linked_pairs(fps, radius: int, depth: int = 0):
     return edges
 
 
+def blocks_for(n: int, radius: int) -> int:
+    """The least number of blocks whose shared ones have bits enough for n fingerprints in shards of about LEAF."""
+    blocks = radius + 1
+    while BITS * (blocks - radius) // blocks < (max(n, 1) // LEAF).bit_length() and comb(blocks + 1, radius) <= 500:
+        blocks += 1
+    return blocks
+
+
 def near_components(marked: DataFrame, scratch: Scratch, radius: int = 4) -> DataFrame:
     """(fp, root) of each distinct __fp that has another within ``radius`` bits, or a chain of such.
 
-    Shards: the bits are cut into radius + 1 blocks, so two linked fingerprints are at distance zero in
-    one block at least, and share that block's value. Within a value, a shard is a ring of RING distances
-    to the block's vantage point; a fingerprint within the radius of the next ring goes there as well.
+    Shards: the bits are cut into blocks, of which two linked fingerprints share all but ``radius`` at
+    least; each choice of so many blocks is a ball of distance zero around a vantage value. The more
+    fingerprints there are, the more blocks (``blocks_for``), so a shard's expected size has a bound. Within
+    a value, a shard is a ring of RING distances to the choice's vantage point; a fingerprint within the
+    radius of the next ring goes there as well.
     """
-    blocks = radius + 1
+    distinct = scratch.write(marked.select(F.col("__fp").alias("fp")).distinct(), "distinct", free=False)
+    blocks = blocks_for(distinct.count(), radius)
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    distinct = marked.select(F.col("__fp").alias("fp")).distinct()
     shards = []
-    for b in range(blocks):
-        value = F.shiftrightunsigned("fp", cuts[b]).bitwiseAND((1 << (cuts[b + 1] - cuts[b])) - 1)
+    for b, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        mask = sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in chosen)
+        value = F.xxhash64(F.lit(b), F.col("fp").bitwiseAND(mask - (1 << BITS) * (mask >> (BITS - 1))))
         vantage = (_SPLIT_SEED * (2 * b + 1)) % (1 << BITS)
         vantage -= (1 << BITS) * (vantage >> (BITS - 1))
         away = F.bit_count(F.col("fp").bitwiseXOR(F.lit(vantage)))
         ring, over = F.floor(away / RING), away % RING >= RING - radius
-        shards.append(F.struct(F.lit(b).alias("b"), value.alias("value"), ring.alias("ring")))
-        shards.append(F.when(over, F.struct(F.lit(b).alias("b"), value.alias("value"), (ring + 1).alias("ring"))))
-    placed = distinct.select("fp", F.explode(F.filter(F.array(*shards), lambda s: s.isNotNull())).alias("s"))
-    placed = placed.select("fp", (F.shiftleft(F.col("s.b").cast("long"), 40) + F.shiftleft(F.col("s.value"), 8) + F.col("s.ring")).alias("shard"))
+        # values that share a hash share a shard, which only makes it larger
+        shards.append(F.xxhash64(value, ring))
+        shards.append(F.when(over, F.xxhash64(value, ring + 1)))
+    placed = distinct.select("fp", F.explode(F.array(*shards)).alias("shard")).filter("shard IS NOT NULL")
 
     def link(batches):
         import numpy as np
@@ -176,7 +220,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "simhash")
     marked, roots = _with_roots(fingerprints(docs.withColumnRenamed(id_col, "doc_id"), "doc_id", text_col, width), scratch, radius)
     least = marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    component = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = scratch.write(least, "least")
+    # a table of its own, so that the join deals both sides and can split a very large component
+    component = scratch.write(least.groupBy("root").agg(F.min("least").alias("component_id")), "component")
     of = least.join(component, "root").select(F.col("fp").alias("__fp"), "component_id")
     return marked.join(of, "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
