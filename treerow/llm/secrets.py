@@ -11,8 +11,9 @@ from .common import Scratch
 #: (kind, pattern, characters of its value at least). The value is the last group of assign, else the match.
 KINDS = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
-    ("access", r"AKIA[A-Z0-9]+", 18),
-    ("hex", r"[0-9a-f]+", 16),
+    # the least lengths of these two stand in the pattern: a run's matches that are long enough stay the same
+    ("access", r"AKIA[A-Z0-9]{14,}", 18),
+    ("hex", r"[0-9a-f]{16,}", 16),
 )
 #: Values with one of these are placeholders of documentation, whatever their owner.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|1234567890?abcdef"
@@ -62,7 +63,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = scratch.write(spans, "spans")
 
     owners = spans.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    freq = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    # a table of its own, so that the join deals both sides anew and can split the spans of a very common value
+    freq = scratch.write(owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")), "frequencies")
     ranked = spans.join(freq, "hash").withColumn(
         "class",
         F.when(F.col("owners") >= example_owners, "example").when((F.col("owners") == 1) & (F.col("repos") <= live_repos) & F.col("looks"), "live").otherwise("shared"),
