@@ -7,13 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import append_columns, small_batches
 from .decontaminate import Words
 
 #: Buckets of hashed features.
 BUCKETS = 1 << 18
-#: Labelled documents per language that the model is fitted on (about; chosen by the hash of the id), and the longest that may be one.
+#: Labelled documents per language that the model is fitted on at most (chosen by the hash of id and text), and the longest that may be one.
 TRAIN_DOCS, TRAIN_CHARS = 250, 20_000
 #: Training sequences are spliced from segments of so many words of different documents.
 SEGMENT, SPLICE = 30, 12
@@ -132,6 +133,24 @@ class Model:
     weights: object  # (BUCKETS, labels) float32
     transition: object
 
+    def label(self, texts: list):
+        """For each text (UTF-8 bytes or None) its words in lower case, in order, as (word, label, probability)."""
+        import numpy as np
+
+        feature, out = Features(), []
+        for t in texts:
+            low = (t or b"").decode("utf-8", "replace").lower().encode()
+            _, own, tri, first = feature([low])
+            if not len(first) or not self.labels:
+                out.append([])
+                continue
+            gamma, _ = marginals(self.emission(own, tri, first), np.array([len(first)]), self.transition)
+            _, _, starts, ends, buf = feature.words.split([low])
+            best = gamma.argmax(axis=1)
+            chance = gamma.max(axis=1)
+            out.append([(buf[a:z].decode("utf-8", "replace"), self.labels[j], float(p)) for a, z, j, p in zip(starts.tolist(), ends.tolist(), best.tolist(), chance.tolist(), strict=True)])
+        return out
+
     def emission(self, own, tri, first):
         import numpy as np
 
@@ -221,17 +240,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = TRAIN_DOCS) -> Model:
-    """A model of the labelled documents that aren't held out; about per_label of each label, chosen by the id's hash.
+    """A model of the labelled documents that aren't held out; per_label of each label at most, chosen by hash.
 
-    Only the label counts and that bounded sample reach the driver. A label with fewer documents is
-    sampled whole; documents over TRAIN_CHARS are not sampled.
+    Only the label counts and that bounded sample reach the driver: a label's rows are thinned by the hash of
+    id and text to about twice per_label, and of these the per_label least hashes stay (a limit that each
+    task applies first). A label with fewer documents is sampled whole; documents over TRAIN_CHARS are not
+    sampled.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("y")).filter(~held_out(F.col("i")) & F.col("t").isNotNull() & F.col("y").isNotNull() & (F.length("t") <= TRAIN_CHARS))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([])
-    share = F.create_map(*(x for y, n in counts.items() for x in (F.lit(y), F.lit(float(per_label) / n))))
-    chosen = rows.filter(F.pmod(F.xxhash64("i", F.lit(11)), F.lit(1 << 20)) < share[F.col("y")] * (1 << 20))
+    share = F.create_map(*(x for y, n in counts.items() for x in (F.lit(y), F.lit(2.0 * per_label / n))))
+    chosen = rows.withColumn("h", F.pmod(F.xxhash64("i", "t", F.lit(11)), F.lit(1 << 40))).filter(F.col("h") < share[F.col("y")] * (1 << 40))
+    chosen = chosen.withColumn("r", F.row_number().over(W.partitionBy("y").orderBy("h"))).filter(F.col("r") <= per_label)
     return train(sorted((r["t"].lower().encode(), r["y"]) for r in chosen.select("t", "y").collect()))
 
 
@@ -262,6 +284,26 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def label_words(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """One row per document: id, words: an array of (word, lang, score) in order, for code-switched text.
+
+    Each word's label is the likeliest by forward-backward over the whole text, score its probability. A
+    text without letters, or null, has no words, nor has any text if no document is labelled.
+    """
+    docs = docs.withColumnRenamed(id_col, "doc_id")
+    model = model or fit(docs, "doc_id", text_col, label_col)
+    small_batches(docs.sparkSession, 512)
+
+    def make(texts):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())]))
+        return [pa.array([[{"word": w, "lang": x, "score": p} for w, x, p in t] for t in model.label(texts)], kind)]
+
+    words = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return append_columns(docs, text_col, make, [T.StructField("__words", words)], ["doc_id"]).withColumnRenamed("__words", "words")
+
+
 def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """The documents, all columns, whose language is known and holds at least ``min_score`` of the mass."""
     rows = _predicted(docs, fit(docs, id_col, text_col, label_col), text_col, docs.columns)
