@@ -85,6 +85,13 @@ def test_suffix_dedup(docs, heavy):
     same(map(tuple, out.collect()), repeats([(d, t.encode()) for d, t in texts(docs)], suffix_dedup.SPAN))
 
 
+def test_suffix_dedup_long_text_and_empty_table(spark, empty):
+    made = [(1, "z" * 200_000), (2, "y" + "z" * 250), (3, "q" * 150)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(made, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans")
+    assert sorted(map(tuple, out.collect())) == [(1, 200_000, 200_000, 1), (2, 251, 250, 1), (3, 150, 0, 0)]
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
 def test_suffix_dedup_small_alphabet(spark):
     rng = random.Random(2)
     made = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 120)))) for i in range(25)]
@@ -133,6 +140,7 @@ def test_secrets(spark):
         line = lambda xs: ",".join(f"{names[k]}:{a}:{e}" for a, k, e, _, _ in xs)  # noqa: E731, B023
         want = (hashlib.sha256(line(base).encode()).hexdigest(), line(sorted([*base, *live], key=lambda x: x[:2])), *(sum(x[1] == k for x in base) for k in range(3)))
         assert want in [(r.base_sha256, r.spans, r.n_assign, r.n_access, r.n_hex) for r in got[d]], d
+    assert scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     assert got[1][0].n_example == 1 and got[9][0].n_live == 0 and "live" in got[4][0].spans
 
 
@@ -204,6 +212,38 @@ def test_line_dedup(spark):
     same([(r.doc_id, r.text) for r in out.collect()], brute_lines(made))
 
 
+def test_bands_recall():
+    """Pairs at the threshold that share a band, with independent min-hashes: exact, over all patterns of equal ones."""
+    met = lost = 0.0
+    for x in range(1 << line_dedup.HASHES):
+        chance = 0.8 ** x.bit_count() * 0.2 ** (line_dedup.HASHES - x.bit_count())
+        shared = any(all(x >> k & 1 for k in band) for band in line_dedup.BANDS)
+        met += chance * shared
+        lost += chance * (shared and x.bit_count() < line_dedup.AGREE)
+    assert met > 0.98 and met - lost > 0.96
+
+
+def test_line_dedup_finds_near_pairs(spark):
+    """Lines in random groups of edited copies: at least nine in ten of all near pairs end in one component."""
+    rng = random.Random(11)
+    lines = []
+    for _ in range(25):
+        base = [rng.choice(sum(WORDS.values(), [])) for _ in range(36)]
+        for _ in range(5):
+            copy = list(base)
+            for k in rng.sample(range(36), rng.randint(0, 2)):
+                copy[k] = rng.choice(sum(WORDS.values(), []))
+            lines.append(" ".join(copy))
+    lines = sorted(set(lines))
+    grams = [{s[i : i + 8] for i in range(len(s) - 7)} for s in lines]
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i long, s string").select(F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), "s")
+    number = {(r.h1, r.h2): r.s for r in table.collect()}
+    root = {number[(r.h1, r.h2)]: (r.r1, r.r2) for r in line_dedup.near_lines(table, Scratch(spark, "recall")).collect()}
+    near = [(a, b) for a in range(len(lines)) for b in range(a) if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])]
+    found = sum(root.get(lines[a], a) == root.get(lines[b], b) for a, b in near)
+    assert len(near) > 40 and found >= 0.9 * len(near)
+
+
 def test_line_dedup_rows(docs, empty):
     out = line_dedup.dedup_lines(docs)
     assert out.count() == docs.count() and out.filter("text is null").count() == 2
@@ -250,7 +290,7 @@ def test_packing(docs, empty):
 def test_special_strings_are_encoded_as_tokenizers_does():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         encode = packing.Encoder(f.read())
-    for t in ("a <|endoftext|> b", "é𝄞 \n\n  x'll  ", "<|endoftext|>", "日本語 ١٢٣ \x00\x1c"):
+    for t in (" " * 2_000_000, "a" + "\n" * 1_100_000, "\u00a0" * 1_100_000 + "b", "x" * 50_000, "a <|endoftext|> b", "é𝄞 \n\n  x'll  ", "<|endoftext|>", "日本語 ١٢٣ \x00\x1c"):
         assert encode(t) == encode.exact.encode(t, add_special_tokens=False).ids
 
 
@@ -298,6 +338,9 @@ def test_language(spark, docs, empty):
     mixed = (prose("en", 40, rng) + " " + prose("de", 90, rng)).encode()
     label, score = model.predict([mixed, None, b"", b"12 !?", "…".encode(), b"the"])
     assert label == ["de", "und", "und", "und", "und", "en"] and 0.5 < score[0] < 0.95 and score[1] == 0
+    (mixed_words,) = language.label_words(spark.createDataFrame([(1, prose("en", 24, rng) + " " + prose("de", 24, rng), "en")], "doc_id long, text string, lang string"), model).collect()
+    assert [w.lang for w in mixed_words.words] == ["en"] * 24 + ["de"] * 24 and all(0.3 < w.score <= 1 for w in mixed_words.words)
+    assert language.label_words(empty, model).count() == 0 and language.label_words(docs, model).filter("size(words) = 0").count() >= 4
     assert language.identify(docs, model).count() == docs.count() and language.identify(empty).count() == 0
     assert {r.lang_pred for r in language.identify(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = language.keep_identified(table.unionByName(spark.createDataFrame([(999, "12", None, "x")], table.schema)))
@@ -339,6 +382,13 @@ def test_decontamination(spark, docs, empty, monkeypatch, block):
     out = decon.contamination(docs, table).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     same(map(tuple, out.collect()), brute_hits(made, [("" if i is None else i, t) for i, t in items]))
     assert decon.contamination(empty, table).count() == 0
+    words = {d: WORD.findall(lower(t)) for d, t in made}
+    texts_of = collections.defaultdict(list)
+    for i, t in items:
+        texts_of["" if i is None else str(i)].append(WORD.findall(lower(t or "")))
+    for r in decon.contamination(docs, table).filter("n_hit > 0 AND doc_id IS NOT NULL AND doc_id <> 104").collect():
+        assert r.longest == max(m.words for m in r.matches)
+        assert all(any(x[m.item_at : m.item_at + m.words] == words[r.doc_id][m.at : m.at + m.words] for x in texts_of[m.item]) for m in r.matches)
     none = decon.contamination(docs, table.limit(0)).agg(F.sum("n_hit"), F.count("*")).first()
     assert tuple(none) == (0, len(made))
     kept = decon.decontaminate(docs, table)
@@ -409,6 +459,31 @@ def test_linked_pairs_connect_as_all_pairs_do(spread, monkeypatch):
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
+def test_search_of_a_shard_is_below_the_square():
+    import time
+
+    import numpy as np
+
+    took = []
+    for n in (16_000, 64_000):
+        prints = np.unique(np.random.default_rng(1).integers(0, 1 << 51, n, dtype=np.uint64)) << np.uint64(13)
+        start = time.perf_counter()
+        simhash.linked_pairs(prints, 4)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * max(took[0], 0.05)
+
+
+@pytest.mark.parametrize("blocks", [5, 7])
+def test_more_blocks_give_the_same_groups(docs, monkeypatch, blocks):
+    want = sorted(map(repr, simhash.simhash_groups(docs, width=1, radius=4).collect()))
+    monkeypatch.setattr(simhash, "blocks_for", lambda n, radius: blocks)
+    assert sorted(map(repr, simhash.simhash_groups(docs, width=1, radius=4).collect())) == want
+
+
+def test_blocks_grow_with_the_fingerprints():
+    assert [simhash.blocks_for(10**k, 4) for k in (0, 6, 9, 11)] == [5, 5, 6, 8]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (200, 150), (150, 170), (300, 300)]
     got = connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "cctest"))
@@ -449,7 +524,7 @@ def test_exact_dedup(docs, empty):
     size, least = collections.Counter(s for _, s in made), {}
     for d, s in made:
         least[s] = min(least.get(s, (True, 0)), (d is None, d or 0))
-    out = exact_dedup(docs, fan_in=2).collect()
+    out = exact_dedup(docs, levels=1).collect()
     same([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out], [(d, least[s][1], size[s], s) for d, s in made])
     kept = [r for r in out if r.kept]
     assert len(kept) == len(size) and all(r.doc_id == r.keep_id for r in kept)

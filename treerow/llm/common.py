@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder used only where the session names no spark.checkpoint.dir (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a session in one process may use its own folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return named or LOCAL_CHECKPOINTS
+    if named:
+        return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 class Scratch:
@@ -31,13 +33,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, let Spark drop the shuffle files behind it, and return the table."""
+    def write(self, df: DataFrame, name: str, free: bool = True) -> DataFrame:
+        """Write df, let Spark drop the shuffle files behind it (unless they are small), and return the table."""
         path = self.path(name)
         df.write.mode("overwrite").parquet(path)
         schema = df.schema
         del df
-        self.spark.sparkContext._jvm.System.gc()  # the context cleaner frees shuffles of dead plans
+        if free:
+            self.spark.sparkContext._jvm.System.gc()  # the context cleaner frees shuffles of dead plans
         return self.spark.read.schema(schema).parquet(path)
 
     def _files(self):
@@ -77,12 +80,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", r
             break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join deals both sides anew and can split a node of very many edges
-        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}{i}_least")
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}{i}_least", free=False)
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: every edge of large points down (u > v)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = scratch.write(small, f"{name}{i}")
+        now = scratch.write(small, f"{name}{i}", free=i % 4 == 0)
         scratch.drop(f"{name}{i - 1}", f"{name}{i}_least")
         was, seen = seen, mark(now)
         if seen == was:
