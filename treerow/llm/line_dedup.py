@@ -55,6 +55,21 @@ def _near(a: str, b: str) -> Column:
     return F.expr(both)
 
 
+def _small_set(line: str) -> str:
+    """SQL: n, the number of a line's distinct shingles, and set, their hashes cut to 15 bits."""
+    return f"transform(array({_grams(line)}), g -> struct(size(array_distinct(g)) as n, array_distinct(transform(g, v -> cast(v & 32767 as smallint))) as set))[0]"
+
+
+def _may_be_near(n: str, a: str, m: str, b: str) -> str:
+    """SQL: false only where two lines can't be near, by their numbers of shingles and sets of shortened hashes.
+
+    A shortened hash that only one line has stands for a shingle, at least, that the other lacks. That bounds
+    the shingles in common from above, so no near pair is lost.
+    """
+    common = f"least({n} - size({a}) + c, {m} - size({b}) + c)"
+    return f"transform(array(size(array_intersect({a}, {b}))), c -> {common} * {SIMILAR[0] + SIMILAR[1]} >= ({n} + {m}) * {SIMILAR[0]})[0]"
+
+
 def _agree(a: str, b: str) -> Column:
     """Whether AGREE slots of two sketches are equal at least; equal min-hashes always are."""
     x = F.col(a).bitwiseXOR(F.col(b))
@@ -82,8 +97,9 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     bucket all lines are compared with a centre, the line that meets most others, and those that aren't near
     it with a centre of their own; these links give components. Only buckets that then still hold lines of
     several components are looked at again: of their pairs, those of one component, those that were compared
-    already, and those whose sketches agree in fewer than AGREE min-hashes are left; the rest are compared
-    where they meet, once, in the least bucket that they share, so that only near pairs leave the join.
+    already, those whose sketches agree in fewer than AGREE min-hashes, and those whose sets of shortened
+    shingle hashes prove them apart don't leave the join; a pair leaves it once, in the least bucket that it
+    shares, and is compared exactly.
     """
     with _one_level_maps(scratch.spark):
         signed = scratch.write(_signatures(lines), "signatures")
@@ -98,13 +114,17 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.write(lines.join(named.hint("shuffle_hash"), ["h1", "h2"]).select("x", "s").dropDuplicates(["x"]), "texts")
     members = found.select(F.explode("buckets").alias("bucket"), "x", "w")
 
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that are near."""
+        both = pairs.join(texts.select(F.col("x").alias("v"), F.col("s").alias("sv")), "v").join(texts.select(F.col("x").alias("u"), F.col("s").alias("su")), "u")
+        return both.filter(_near("su", "sv")).select("u", "v")
+
     def star(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Each row's line against the weightiest of its bucket: the near pairs, and (bucket, x, w, near, centre)."""
         centres = scratch.write(rows.groupBy("bucket").agg(F.max(F.struct("w", "x")).alias("c")).select("bucket", F.col("c.x").alias("u")), f"{name}_centres")
         pairs = scratch.write(rows.select("bucket", F.col("x").alias("v"), "w").join(centres, "bucket"), f"{name}_pairs")
         wanted = pairs.filter("u <> v").select("u", "v").distinct()
-        both = wanted.join(texts.select(F.col("x").alias("v"), F.col("s").alias("sv")), "v").join(texts.select(F.col("x").alias("u"), F.col("s").alias("su")), "u")
-        links = scratch.write(both.filter(_near("su", "sv")).select("u", "v"), name)
+        links = scratch.write(compared(wanted), name)
         out = pairs.join(links.withColumn("near", F.lit(True)), ["u", "v"], "left")
         centre = F.col("u") == F.col("v")
         return links, scratch.write(out.select("bucket", F.col("v").alias("x"), "w", (F.coalesce("near", F.lit(False)) | centre).alias("near"), centre.alias("centre")), f"{name}_rows")
@@ -119,14 +139,18 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     placed = placed.join(known, "x", "left").select("bucket", "x", "near", F.coalesce("centre2", F.lit(False)).alias("centre2"), F.coalesce("root", "x").alias("root"))
     placed = scratch.write(placed, "roots")
     several = scratch.write(placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("bucket"), "several")
-    placed = placed.join(several, "bucket", "left_semi").join(found.select("x", "sketch", "buckets"), "x").join(texts, "x")
-    placed = scratch.write(placed, "placed")
-    a, b = placed.filter("not near"), placed.select(F.col("bucket").alias("bucket_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "near", "centre2", "root", "sketch", "buckets", "s")))
+    placed = scratch.write(placed.join(several, "bucket", "left_semi"), "apart")
+    sets = texts.join(placed.select("x").distinct(), "x").select("x", F.expr(_small_set("s")).alias("g")).select("x", "g.n", "g.set")
+    placed = scratch.write(placed.join(found.select("x", "sketch", "buckets").join(sets, "x"), "x"), "placed")
+    scratch.drop("roots", "several", "apart")
+    a, b = placed.filter("not near"), placed.select(F.col("bucket").alias("bucket_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "near", "centre2", "root", "sketch", "buckets", "n", "set")))
     once = F.col("near_b") | (F.col("x") < F.col("x_b")) & ~F.col("centre2") & ~F.col("centre2_b")
     open_ = once & (F.col("root") != F.col("root_b")) & _agree("sketch", "sketch_b")
+    open_ = open_ & (5 * F.least("n", "n_b") >= 4 * F.greatest("n", "n_b"))
     open_ = F.when(open_, F.array_min(F.array_intersect("buckets", "buckets_b")) == F.col("bucket")).otherwise(False)
-    rest = a.join(b, (F.col("bucket") == F.col("bucket_b")) & F.when(open_, _near("s", "s_b")).otherwise(False))
-    more = scratch.write(rest.select(F.least("root", "root_b").alias("u"), F.greatest("root", "root_b").alias("v")).distinct(), "more")
+    rest = a.join(b, (F.col("bucket") == F.col("bucket_b")) & F.when(open_, F.expr(_may_be_near("n", "set", "n_b", "set_b"))).otherwise(False))
+    more = scratch.write(compared(rest.select(F.col("x").alias("u"), F.col("x_b").alias("v"))), "more")
+    scratch.drop("placed")
     edges = known.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v")).union(more)
     parts = connected_components(edges, scratch, "components")
     roots = parts.join(named.withColumnRenamed("x", "node"), "node").select("h1", "h2", "root")
