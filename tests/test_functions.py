@@ -27,6 +27,10 @@ def test_minify_html():
     assert markup.minify_html("<pre>\n a  b\n</pre><div>\n x   y\n</div>") == "<pre>\n a  b\n</pre><div> x y </div>"
     assert markup.minify_html("<b> a </b>  <i>b</i> \n") == "<b> a </b><i>b</i>"
     assert markup.minify_html("  a  b  ") == " a b "
+    for body in ("if (i<n) { j  ++ }", "  x<y && y>z  ", "'</p>'  +  1", "</scripted>  k"):
+        assert markup.minify_html(f"<script>{body}</script><em>  q   r </em>") == f"<script>{body}</script><em> q r </em>"
+    assert markup.minify_html("<style>  u < v ") == "<style>  u < v "
+    assert markup.minify_html("<pre> 1 <b>  2</b></PRE >  <u>  3</u>") == "<pre> 1 <b>  2</b></PRE ><u> 3</u>"
 
 
 def tree(*parts):

@@ -20,9 +20,9 @@ _PART = re.compile(r"(?P<comment><!--.*?(?:-->|\Z))|(?P<tag><(?:[^>\"']|\"[^\"]*
 _NAME = re.compile(r"</?\s*([A-Za-z0-9_:-]+)")
 
 
-def _parts(html: str):
-    """(kind, piece, name): kind is comment, text, broken, open, close, single (void or self-closed) or other."""
-    for m in _PART.finditer(html):
+def _parts(html: str, only: int | None = None):
+    """(kind, piece, name): kind is comment, text, broken, open, close, single (void or self-closed) or other; ``only`` the piece at a place."""
+    for m in _PART.finditer(html) if only is None else [_PART.match(html, only)]:
         kind, piece = m.lastgroup, m[0]
         if kind != "tag":
             yield kind, piece, ""
@@ -71,24 +71,24 @@ def limit_html(html: str, depth: int) -> str:
 
 def minify_html(html: str) -> str:
     """White space in text collapses to one space; text of white space beside a tag or comment goes; preserved elements stay."""
-    out, after_tag, inside = [], False, None
-    parts = list(_parts(html))
-    for k, (kind, piece, name) in enumerate(parts):
-        if inside:
-            out.append(piece)
-            if kind == "close" and name == inside:
-                inside, after_tag = None, True
-        elif kind == "text":
+    out, after_tag, at = [], False, 0
+    while at < len(html):
+        ((kind, piece, name),) = _parts(html, at)
+        at += len(piece)
+        if kind == "text":
             short = _RUN.sub(" ", piece)
-            if short == " " and (after_tag or k + 1 < len(parts)):
+            if short == " " and (after_tag or at < len(html)):
                 continue
             out.append(short)
             after_tag = False
-        else:
-            out.append(piece)
-            after_tag = True
-            if kind == "open" and name in PRESERVE:
-                inside = name
+            continue
+        out.append(piece)
+        after_tag = True
+        if kind == "open" and name in PRESERVE:  # what looks like a tag inside is none: only the end tag of this name counts
+            end = re.compile(rf"</\s*{name}(?![A-Za-z0-9_:-])", re.I).search(html, at)
+            stop = end.start() if end else len(html)
+            out.append(html[at:stop])
+            at = stop
     return "".join(out)
 
 
@@ -105,8 +105,8 @@ def flat_text(html: str) -> str:
     return collapse_ws(direct_text(html, strict=True)) or collapse_ws(direct_text(html))
 
 
-#: What TFIDF removes before it splits words: comments, script, style and noscript with content, all tags.
-MARKUP = r"(?is)<!--.*?(-->|\z)|<script\b.*?(</script\s*>|\z)|<style\b.*?(</style\s*>|\z)|<noscript\b.*?(</noscript\s*>|\z)|<[^>]*(>|\z)"
+#: What TFIDF removes before it splits words: comments, script, style and noscript (any name that begins so, up to the exact end tag) with content, all tags.
+MARKUP = r"(?is)<!--.*?(-->|\z)|<script.*?(</script>|\z)|<style.*?(</style>|\z)|<noscript.*?(</noscript>|\z)|<[^>]*(>|\z)"
 
 
 def register(spark) -> None:
