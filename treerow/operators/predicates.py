@@ -1,4 +1,4 @@
-"""WHERE: predicates as columns, axes as windows and equi-joins inside a document."""
+"""WHERE: predicates as columns, axes as windows inside a document."""
 
 from __future__ import annotations
 
@@ -112,7 +112,10 @@ class Predicates:
     Ancestors and descendants: the intervals of elements nest, so a matching ancestor exists if the largest
     subtree_end of the matching rows before this one reaches it, and a matching descendant if the next
     matching row is still inside this one. Both are one pass over a document, whatever its depth. Parents
-    and children are equi-joins within the document on distinct keys, so rows never multiply.
+    and children are such passes too: in preorder, a row's parent is the last row before it that is one
+    level up, and the next matching row one level down is a child if it is still inside. For these, each row
+    stands once for itself and once, at the other level, for what others look for. So a document is parsed
+    and dealt once for all axes of a statement, and rows never multiply, even if documents share an id.
     """
 
     def __init__(self):
@@ -163,8 +166,14 @@ class Predicates:
         if axis == "descendant":
             after = W.partitionBy("doc_id").orderBy(F.desc("node_id")).rowsBetween(W.unboundedPreceding, -1)
             return df.withColumn(out, F.coalesce(F.min(F.when(F.col(name), F.col("node_id"))).over(after) <= F.col("subtree_end"), F.lit(False))), F.col(out)
-        key, mine = ("node_id", "parent_id") if axis == "parent" else ("parent_id", "node_id")
-        keys = df.filter(F.col(name) & F.col(key).isNotNull()).select(F.col("doc_id").alias(f"{out}d"), F.col(key).alias(f"{out}k"))
-        keys = keys.distinct() if axis == "child" else keys
-        joined = df.join(keys, (df["doc_id"] == keys[f"{out}d"]) & (df[mine] == keys[f"{out}k"]), "left")
-        return joined.withColumn(out, F.col(f"{out}k").isNotNull()).drop(f"{out}d", f"{out}k"), F.col(out)
+        at, other = f"{out}at", F.col("level") + (1 if axis == "parent" else -1)
+        roles = F.array(F.struct(F.col("level").alias("level"), F.lit(True).alias("self")), F.struct(other.alias("level"), F.lit(False).alias("self")))
+        both = df.select("*", F.explode(roles).alias(at))
+        itself, level = F.col(f"{at}.self"), F.col(f"{at}.level")
+        if axis == "parent":
+            before = W.partitionBy("doc_id", level).orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)
+            found = F.last(F.when(~itself, F.col(name)), ignorenulls=True).over(before)
+        else:
+            after = W.partitionBy("doc_id", level).orderBy(F.desc("node_id")).rowsBetween(W.unboundedPreceding, -1)
+            found = F.min(F.when(~itself & F.col(name), F.col("node_id"))).over(after) <= F.col("subtree_end")
+        return both.withColumn(out, F.coalesce(found, F.lit(False))).filter(itself).drop(at), F.col(out)
