@@ -17,35 +17,38 @@ def summarize(rows: DataFrame, order: list, limit: int | None) -> DataFrame:
     return counts if limit is None else counts.limit(limit)
 
 
-def term_scores(rows: DataFrame, key: list[str], top_terms: int = 30, min_df: int = 1, max_df: int = 0, stopwords: bool = True) -> DataFrame:
-    """(key..., term, score): the best terms of each row's inner_html, the rows being the corpus.
+def term_scores(rows: DataFrame, key: list[str], kept: list[str], top_terms: int = 30, min_df: int = 1, max_df: int = 0, stopwords: bool = True) -> DataFrame:
+    """(key..., kept..., term, score): the best terms of each row's inner_html, the rows being the corpus; no term for a row without any.
 
     score = share of the row's kept words x (ln((rows + 1) / (rows with the term + 1)) + 1); terms in fewer
-    than min_df or more than max_df rows (0: no bound) go; ties go to the smaller term. Words are exploded
-    once and counted with partial sums; only the top-k window needs a row's distinct terms together.
+    than min_df or more than max_df rows (0: no bound) go; ties go to the smaller term. Words are counted
+    with partial sums; lengths and the best terms are windows over a row's distinct terms. Only the number
+    of rows with each term, and of rows, are tables beside that.
     """
     total = rows.agg(F.count("*").alias("rows"))
-    words = rows.select(*key, F.explode(tokenize(strip_html(F.col("inner_html")))).alias("term"))
+    words = tokenize(strip_html(F.col("inner_html")))
     if stopwords:
-        words = words.filter(~F.col("term").isin(*STOPWORDS))
-    counts = words.groupBy(*key, "term").agg(F.count("*").alias("n"))
-    lengths = counts.groupBy(*key).agg(F.sum("n").alias("words"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+        words = F.filter(words, lambda w: ~w.isin(*STOPWORDS))
+    counts = rows.select(*key, *kept, F.explode_outer(words).alias("term")).groupBy(*key, *kept, "term").agg(F.count("term").alias("n"))
+    df = counts.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     if max_df:
         df = df.filter(F.col("df") <= max_df)
     idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((F.col("rows") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # total is one row
-    scored = counts.join(idf, "term").join(lengths, key).select(*key, "term", (F.col("n") / F.col("words") * F.col("idf")).alias("score"))
-    best = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "term"))
-    return scored.withColumn("__r", best).filter(F.col("__r") <= top_terms).drop("__r")
+    of_row = W.partitionBy(*key)
+    share = F.col("n") / F.sum("n").over(of_row)
+    scored = counts.withColumn("share", F.when(F.col("n") > 0, share)).join(idf, "term", "left").withColumn("score", F.col("share") * F.col("idf"))
+    best = F.row_number().over(of_row.orderBy(F.desc_nulls_last("score"), "term"))
+    scored = scored.withColumn("__r", best).filter(F.col("__r") <= top_terms)
+    return scored.select(*key, *kept, F.when(F.col("score").isNotNull(), F.col("term")).alias("term"), "score")
 
 
 def tfidf(rows: DataFrame, options: dict[str, str]) -> DataFrame:
     """(doc_id, node_id, parent_id, tag, terms_score): a map of the best terms per row, empty for a row without words."""
     key = ["doc_id", "node_id"]
-    scores = term_scores(rows, key, int(options.get("TOP_TERMS", 30)), int(options.get("MIN_DF", 1)), int(options.get("MAX_DF", 0)), options.get("STOPWORDS", "ENGLISH") in ("ENGLISH", "DEFAULT"))
-    maps = scores.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "score")))).alias("terms_score"))
-    empty = F.create_map().cast("map<string,double>")
-    return rows.select("doc_id", "node_id", "parent_id", "tag", "doc_order").join(maps, key, "left").withColumn("terms_score", F.coalesce("terms_score", empty))
+    kept = ["parent_id", "tag", "doc_order"]
+    scores = term_scores(rows, key, kept, int(options.get("TOP_TERMS", 30)), int(options.get("MIN_DF", 1)), int(options.get("MAX_DF", 0)), options.get("STOPWORDS", "ENGLISH") in ("ENGLISH", "DEFAULT"))
+    entry = F.when(F.col("term").isNotNull(), F.struct("term", "score"))
+    return scores.groupBy(*key, *kept).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("terms_score"))
 
 
 def summarize_content(texts: DataFrame, text_col: str, language: str | None = None, max_tokens: int = 20) -> DataFrame:
