@@ -190,13 +190,21 @@ class Compiler:
         return Result(rows.select(*kept, *values), columns)
 
     def fragments(self, q: Query) -> Documents:
-        """The subquery's strings as one document. Bounded by the limits, so they pass through the driver."""
+        """The subquery's strings of each document as one document, under the limits of one.
+
+        Of a single document, they pass through the driver, and all limits are checked before the statement
+        runs. Of a table of documents, none does: a document without fragments is left out, and one over a
+        limit is an error when it is reached.
+        """
         inner = self.compile(q)
         if len(inner.columns) != 1 or inner.kind != "rows":
             raise QueryError("FRAGMENTS() expects a single HTML string column")
         keys = [c for c in ("doc_id", "doc_order") if c in inner.df.columns]
         rows = inner.df if inner.ordered else inner.df.orderBy(*keys)
         value = F.col(f"`{inner.columns[0]}`").cast("string")
+        if inner.many:
+            place = F.monotonically_increasing_id() if inner.ordered else F.col("doc_order")
+            return self._fragments_of_each(inner.df.select("doc_id", place.alias("at"), value.alias("v")))
         kept = rows.select(value.alias("v")).filter(F.col("v").isNotNull() & (trim_ws(F.col("v")) != ""))
         parts = [r["v"] for r in kept.limit(MAX_FRAGMENTS + 1).collect()]
         sizes = [len(p.encode()) for p in parts]
@@ -211,5 +219,22 @@ class Compiler:
         return Documents(single(self.spark, parts, "fragment"), uris=("fragment",))
 
 
+    @staticmethod
+    def _fragments_of_each(values: DataFrame) -> Documents:
+        values = values.filter(F.col("v").isNotNull() & (trim_ws(F.col("v")) != ""))
+        size = F.octet_length("v")
+        each = values.groupBy("doc_id").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("parts"),
+            F.count("*").alias("n"), F.max(size).alias("most"), F.sum(size).alias("bytes"), F.bool_and(F.col("v").contains("<") & F.col("v").contains(">")).alias("markup"),
+        )
+        checked = (
+            F.when(F.col("n") > MAX_FRAGMENTS, F.raise_error(F.lit("FRAGMENTS() exceeds maximum fragment count")))
+            .when(~F.col("markup"), F.raise_error(F.lit("FRAGMENTS() expects HTML strings")))
+            .when((F.col("most") > MAX_FRAGMENT_BYTES) | (F.col("bytes") > MAX_FRAGMENTS_BYTES), F.raise_error(F.lit("FRAGMENTS() exceeds maximum HTML size")))
+            .otherwise(F.col("parts"))
+        )
+        return Documents(each.select("doc_id", F.lit("fragment").alias("source_uri"), checked.alias("parts")), many=True, uris=("fragment",))
+
+
 def single(spark: SparkSession, parts: list[str], uri: str) -> DataFrame:
     return spark.createDataFrame([(0, uri, parts)], "doc_id long, source_uri string, parts array<string>")
