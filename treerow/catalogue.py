@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import Engine
+from .functions import numerals
 from .operators import aggregates
+from .sources import sinks
 
 #: The element tree of the pages in plain SQL: tokens by pattern, levels by a running sum, parents by level.
 #: The first step closes the paragraphs that these pages leave open.
@@ -153,7 +157,7 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "in_attr": (_pages("SELECT a.node_id FROM document WHERE href IN ('/the', '/and', '/of')"), f"{TREE} SELECT {_KEYS} FROM n WHERE tag = 'a' AND href IN ('/the', '/and', '/of')"),
     "in_num": (_pages("SELECT li.node_id FROM document WHERE sibling_pos IN (1, 3) OR max_depth <> 1 OR node_id = '+12'"), f"{TREE} SELECT {_KEYS} FROM n WHERE tag = 'li' AND (sibling_pos IN (1, 3) OR max_depth <> 1 OR node_id = 12)"),
     "num_not_integer": (_pages("SELECT li.node_id FROM document WHERE node_id = 'x' OR sibling_pos IN ('x', 2)"), f"{TREE} SELECT {_KEYS} FROM n WHERE tag = 'li' AND sibling_pos = 2"),
-    "is_null_attr": (_pages("SELECT div.node_id FROM document WHERE class IS NULL OR id IS NOT NULL"), f"{TREE} SELECT {_KEYS} FROM n WHERE tag = 'div' AND class IS NULL"),
+    "is_null_attr": (_pages("SELECT a.node_id FROM document WHERE class IS NULL OR id IS NOT NULL"), f"{TREE} SELECT {_KEYS} FROM n WHERE tag = 'a' AND class IS NULL"),
     "attrs_null": (_flat("SELECT * FROM document WHERE attributes IS NULL"), f"{TREE} SELECT {_WIDE} FROM n WHERE coalesce(href, class, lang, charset) IS NULL"),
     "parent_null": (_flat("SELECT * FROM document WHERE parent_id IS NULL"), f"{TREE} SELECT {_WIDE} FROM n WHERE parent_id IS NULL"),
     "regex_attr": (_pages("SELECT a.href FROM document WHERE href ~ '^/[A-Z].*[a-z]$'"), f"{TREE} SELECT doc_id, href FROM n WHERE tag = 'a' AND regexp_matches(href, '^/[A-Z].*[a-z]$')"),
@@ -226,14 +230,13 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "show_input": _meta("SHOW INPUT"),
     "show_inputs": _meta("SHOW INPUTS"),
     "describe_language": _meta("DESCRIBE language"),
-    # number words, a page of many cards
-    "khmer_numbers": (_numbers, None),
+    # a page of many cards
     "bench_cards_minified": (_cards("INNER_HTML"), "SELECT '<h2> Title ' || i || ' </h2><p> Summary line ' || i || ' with spaces </p>' AS inner_html FROM range(2000) t(i)"),
     "bench_cards_raw": (_cards("RAW_INNER_HTML"), "SELECT chr(10) || '    <h2> Title ' || i || ' </h2>' || chr(10) || '    <p>   Summary line   ' || i || '   with spaces   </p>' || chr(10) || '  ' AS raw_inner_html FROM range(2000) t(i)"),
 }
 CATALOGUE["fragments_pages"] = (
     _flat("SELECT li FROM FRAGMENTS(SELECT inner_html(nav, 9) FROM document WHERE child.tag = 'ul') AS f"),
-    TREE + ", f AS (SELECT doc_id, node_id, subtree_end, coalesce(sum(subtree_end - node_id) OVER (ORDER BY doc_id, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM n WHERE tag = 'nav') SELECT (base + n.node_id - f.node_id - 1)::BIGINT AS node_id, n.tag, (base + n.parent_id - f.node_id - 1)::BIGINT AS parent_id, n.max_depth, (base + n.node_id - f.node_id - 1)::BIGINT AS doc_order FROM n JOIN f ON n.doc_id = f.doc_id AND n.node_id > f.node_id AND n.node_id <= f.subtree_end WHERE n.tag = 'li'",
+    TREE + ", f AS (SELECT doc_id, node_id, subtree_end, coalesce(sum(subtree_end - node_id) OVER (PARTITION BY doc_id ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM n WHERE tag = 'nav') SELECT n.doc_id, (base + n.node_id - f.node_id - 1)::BIGINT AS node_id, n.tag, (base + n.parent_id - f.node_id - 1)::BIGINT AS parent_id, n.max_depth, (base + n.node_id - f.node_id - 1)::BIGINT AS doc_order FROM n JOIN f ON n.doc_id = f.doc_id AND n.node_id > f.node_id AND n.node_id <= f.subtree_end WHERE n.tag = 'li'",
 )
 
 FLAGSHIP = "SELECT a.node_id, a.href, TEXT(a) FROM document WHERE ancestor.tag = 'nav' AND href IS NOT NULL"
@@ -245,3 +248,108 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOGUE["flagship"] = (flagship, _axis("doc_id, node_id, href, own_text AS text", "m.tag = 'nav' AND n.tag = 'a' AND n.href IS NOT NULL", _ANCESTOR))
+
+
+# files and texts that statements write, read back
+
+_SHOP = "<ul id='shop'><li class='in'>Tea, black</li><li>Salt \"fine\"</li><li class='in out'> Rye </li></ul><table><tr><th>k</th><th>v</th></tr><tr><td>a</td><td>1</td></tr><tr><td>b, c</td></tr></table>"
+
+
+def _written(make: Callable[[Engine, str], list[tuple]], columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """What ``make`` reads back of files in a folder of its own, which goes at once; small literal pages only."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with tempfile.TemporaryDirectory() as folder:
+            rows = make(Engine(spark).html(_SHOP), folder)
+        return spark.createDataFrame(rows, ", ".join(f"{c.strip()} {'long' if all(isinstance(r[i], int | None) for r in rows) else 'string'}" for i, c in enumerate(columns.split(","))))
+
+    return run
+
+
+def _csv_lines(statement: str) -> Callable[[Engine, str], list[tuple]]:
+    def make(engine: Engine, folder: str) -> list[tuple]:
+        engine.run(statement.format(f"{folder}/out"))
+        return list(enumerate(Path(folder, "out").read_text(encoding="utf-8").splitlines()))
+
+    return make
+
+
+def _parquet_rows(engine: Engine, folder: str) -> list[tuple]:
+    import pyarrow.parquet as pq
+
+    engine.run(f"SELECT li(node_id, class) FROM document TO PARQUET('{folder}/out')")
+    return [(r["node_id"], r["class"]) for r in pq.read_table(f"{folder}/out").to_pylist()]
+
+
+def _shown(statement: str, show: Callable) -> Callable[[Engine, str], list[tuple]]:
+    return lambda engine, folder: list(enumerate(show(engine.query(statement)).split("\n")))
+
+
+def _from_files(engine: Engine, folder: str) -> list[tuple]:
+    for i in range(3):
+        Path(folder, f"p{i}.html").write_text(f"<p><b>{i}</b></p>" * (i + 1), encoding="utf-8")
+    df = engine.files(f"{folder}/*.html", alias="files").sql("SELECT b(node_id, source_uri) FROM files")
+    return sorted((r["source_uri"].rsplit("/", 1)[-1], r["node_id"]) for r in df.collect())
+
+
+def _from_path(engine: Engine, folder: str) -> list[tuple]:
+    Path(folder, "p.html").write_text("<i>x</i><p><i>y</i></p>", encoding="utf-8")
+    from .cli import quote_path
+
+    return [tuple(r) for r in engine.sql(quote_path(f"SELECT i(node_id, parent_id) FROM {folder}/p.html")).collect()]
+
+
+def _facade(engine: Engine, folder: str) -> list[tuple]:
+    from . import api
+
+    Path(folder, "p.html").write_text(_SHOP, encoding="utf-8")
+    doc = api.load(Path(folder, "p.html"), base_dir=folder)
+    rows = api.execute("SELECT li(node_id, class) FROM document WHERE class IS NOT NULL", source=doc, spark=engine.spark).rows
+    counts = api.summarize(doc, spark=engine.spark)
+    return [("rows", r["class"], r["node_id"]) for r in rows] + [("tags", k, n) for k, n in counts["tag_counts"].items()] + [("keys", k, n) for k, n in counts["attribute_keys"].items()] + [("total", "nodes", counts["total_nodes"])]
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return Engine(spark).html("<a href='/the'></a>").pages(pages, alias="web").sql("SELECT a.node_id FROM web WHERE web.href = '/the'")
+
+
+def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tempfile.mkdtemp(prefix="dataset-")
+    result = Engine(spark).pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).query("SELECT a(node_id, href) FROM document WHERE href CONTAINS 'th'")
+    sinks.write_dataset(result, f"file://{folder}/out")
+    return spark.read.parquet(f"file://{folder}/out")
+
+
+def _khmer_sql() -> str:
+    """Words of numbers below ten million in plain SQL: digit by digit of the decimal places."""
+    digit = "['" + "','".join(numerals.DIGITS[1:]) + "'][{}]"
+    place = lambda p: f"CASE WHEN n // {10**p} % 10 > 0 THEN {digit.format(f'n // {10**p} % 10')} || '-' || '{numerals.SCALES[p]}' END"
+    tens = "['" + "','".join([numerals.SCALES[1], *numerals.TENS.values()]) + "'][n // 10 % 10]"
+    parts = [*(place(p) for p in (6, 5, 4, 3, 2)), f"CASE WHEN n // 10 % 10 > 0 THEN {tens} END", f"CASE WHEN n % 10 > 0 THEN {digit.format('n % 10')} END"]
+    return f"SELECT n::VARCHAR AS number, CASE WHEN n = 0 THEN '{numerals.DIGITS[0]}' ELSE concat_ws('-', {', '.join(parts)}) END AS words, translate(n::VARCHAR, '0123456789', '{numerals.NUMERALS}') AS numerals, n::VARCHAR AS parsed FROM (SELECT o_orderkey AS n FROM orders)"
+
+
+CATALOGUE["khmer_numbers"] = (_numbers, _khmer_sql())
+CATALOGUE |= {
+    "alias_source": (_pages("SELECT a.node_id FROM doc WHERE a.href = '/of'"), f"{TREE} SELECT {_KEYS} FROM n WHERE tag = 'a' AND href = '/of'"),
+    "named_source": (_named, f"{TREE} SELECT {_KEYS} FROM n WHERE tag = 'a' AND href = '/the'"),
+    "uri_column": (lambda spark, sf_dir: _pages("SELECT h1 FROM document")(spark, sf_dir).drop("attributes"), f"{TREE} SELECT {_WIDE}, url AS source_uri FROM n JOIN pages ON page_id = doc_id WHERE tag = 'h1'"),
+    "field_is_null": (_flat("SELECT * FROM document WHERE parent.max_depth IS NULL OR child.tag IS NOT NULL AND sibling_pos IS NOT NULL"), f"{TREE} SELECT {_WIDE} FROM n WHERE parent_id IS NULL OR subtree_end > node_id"),
+    "field_not_null_axis": (_pages("SELECT li.node_id FROM document WHERE ancestor.parent_id IS NOT NULL AND tag IS NOT NULL"), _axis(_KEYS, "m.parent_id IS NOT NULL AND n.tag = 'li'", _ANCESTOR)),
+    "axis_parent_child_both": (_flat("SELECT * FROM document WHERE EXISTS(parent WHERE tag = 'ul' AND sibling_pos = 1) OR EXISTS(child WHERE tag = 'h1' OR tag = 'ul')"), f"{TREE} SELECT {_WIDE} FROM n WHERE EXISTS (SELECT 1 FROM n m WHERE m.doc_id = n.doc_id AND {_PARENT} AND m.tag = 'ul' AND m.sibling_pos = 1) OR EXISTS (SELECT 1 FROM n m WHERE m.doc_id = n.doc_id AND {_CHILD} AND m.tag IN ('h1', 'ul'))"),
+    "minify_script": (_literal("SELECT inner_html(div, 3) FROM document WHERE id = 'm'", "<div id='m'><style>a  { b : c }</style><p>  x   y </p></div>"), _values("inner_html", ("<style>a  { b : c }</style><p> x y </p>",))),
+    "files_source": (_written(_from_files, "name, node_id"), _values("name, node_id", ("p0.html", 1), ("p1.html", 1), ("p1.html", 3), ("p2.html", 1), ("p2.html", 3), ("p2.html", 5))),
+    "path_source": (_written(_from_path, "node_id, parent_id"), _values("node_id, parent_id", (0, None), (2, 1))),
+    "csv_sink": (_written(_csv_lines("SELECT li(node_id, class), li.title FROM document TO CSV('{}')"), "line, text"), _values("line, text", (0, "node_id,class,title"), (1, "1,in,"), (2, "2,,"), (3, "3,in out,"))),
+    "csv_table_sink": (_written(_csv_lines("SELECT table FROM document TO TABLE(EXPORT='{}')"), "line, text"), _values("line, text", (0, "k,v"), (1, "a,1"), (2, '"b, c"'))),
+    "parquet_sink": (_written(_parquet_rows, "node_id, class"), "SELECT * FROM (VALUES ('1', 'in'), ('2', NULL), ('3', 'in out')) AS v(node_id, class)"),
+    "json_sink": (_written(_shown("SELECT li(node_id, class) FROM document WHERE class = 'out'", sinks.to_json), "line, text"), _values("line, text", (0, "["), (1, "  {"), (2, '    "node_id": 3,'), (3, '    "class": "in out"'), (4, "  }"), (5, "]"))),
+    "json_list_sink": (_written(_shown("SELECT li.class FROM document TO LIST()", lambda r: sinks.to_json(r, None)), "line, text"), _values("line, text", (0, '["in", null, "in out"]'))),
+    "box_sink": (_written(_shown("SELECT li(node_id, class) FROM document WHERE node_id IN (1, 2)", sinks.to_box), "line, text"), _values("line, text", (0, "┌─────────┬───────┐"), (1, "│ node_id │ class │"), (2, "├─────────┼───────┤"), (3, "│       1 │ in    │"), (4, "│       2 │ NULL  │"), (5, "└─────────┴───────┘"))),
+    "dataset_sink": (_dataset, f"{TREE} SELECT doc_id, node_id, href FROM n WHERE tag = 'a' AND contains(lower(href), 'th')"),
+    "facade": (
+        _written(_facade, "kind, name, n"),
+        _values("kind, name, n", ("rows", "in", 1), ("rows", "in out", 3), ("tags", "ul", 1), ("tags", "li", 3), ("tags", "table", 1), ("tags", "tr", 3), ("tags", "th", 2), ("tags", "td", 3), ("keys", "id", 1), ("keys", "class", 2), ("total", "nodes", 13)),
+    ),
+}
