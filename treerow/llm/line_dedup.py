@@ -182,12 +182,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = places.groupBy("h1", "h2").agg(F.min(order).alias("f"), F.count("*").alias("n"))
     own = own.join(near, ["h1", "h2"], "left").filter("n > 1 or r1 is not null")
     own = scratch.write(own.select("h1", "h2", "f", F.coalesce("r1", "h1").alias("c1"), F.coalesce("r2", "h2").alias("c2")), "own")
-    least = own.groupBy("c1", "c2").agg(F.min("f").alias("f"))
+    # a table of its own, so that the join deals both sides anew and can split a very large component
+    least = scratch.write(own.groupBy("c1", "c2").agg(F.min("f").alias("f")), "least", free=False)
     first = scratch.write(own.drop("f").join(least, ["c1", "c2"]).select("h1", "h2", "f"), "firsts")
     # only what goes is dealt by document; the hashes' table is of its own, so that the join can split a very common line
     gone = places.join(first, ["h1", "h2"]).filter(order != F.col("f")).groupBy("d", "h").agg(F.collect_set("line").alias("gone"))
     gone = scratch.write(gone.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("gone").alias("__gone")), "gone")
-    scratch.drop("near", "places", "own", "firsts")
+    scratch.drop("near", "places", "own", "least", "firsts")
 
     marked = docs.withColumn("__hash", h)
     out = marked.join(gone, marked[f"`{id_col}`"].eqNullSafe(gone["__d"]) & (marked["__hash"] == gone["__h"]), "left")
