@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from treerow.functions import markup, numerals
 from treerow.sources import html
 
@@ -98,3 +100,11 @@ def test_bad_number_words():
         numerals.from_words("មួ")
     with pytest.raises(numerals.NumeralError):
         numerals.to_words("1x")
+
+
+def test_stripped_names_and_end_tags(spark):
+    from treerow.functions.text import strip_html
+
+    made = ["a<scripts>b</scripts>c</script>d", "a<STYLE>b</style >c</Style>d", "<noscript>x", "k<!-- <b> -->l<i>m</i>", "n<o"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(made)], "i long, s string").orderBy("i").select(strip_html(F.col("s"))).collect()]
+    assert got == ["ad", "ad", "", "klm", "n"]
