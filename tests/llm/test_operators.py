@@ -170,6 +170,34 @@ def test_warc(spark, docs):
     assert warc.read_records(spark, scratch.path("b")).count() == 0
 
 
+def test_warc_files_and_members(spark):
+    """Files end at the bound, and every record is a gzip member that can be read by itself."""
+    import gzip
+    import zlib
+
+    made = [(i, f"http://a.b/{i}", hashlib.sha256(str(i).encode()).hexdigest() * (400 if i == 7 else 8)) for i in range(60)]
+    scratch = Scratch(spark, "warctest")
+    pages = spark.createDataFrame(made, "page_id long, url string, html string").repartition(2)
+    warc.write_captures(pages, scratch.path("c"), file_bytes=4000)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(scratch.path("c")).collect()]
+    assert len(files) > 5
+    members = []
+    for f in files:
+        own, rest = [], f
+        while rest:
+            z = zlib.decompressobj(31)
+            own.append((z.decompress(rest), rest))
+            assert z.eof
+            rest = z.unused_data
+        assert own.pop()[0] == b"" and len(own) % 3 == 0
+        assert len(own) == 3 or len(own[-3][1]) > len(f) - 4000  # full only by its last capture
+        members += own
+    assert len(members) == 3 * len(made)
+    assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") and len(list(warc.records(gzip.compress(m), False))) == 1 for m, _ in members)
+    got = [bytes(r.payload).decode() for r in warc.read_records(spark, scratch.path("c")).filter("warc_type = 'response'").collect()]
+    same(got, [h for _, _, h in made])
+
+
 # 4
 
 

@@ -10,8 +10,10 @@ from .common import small_batches
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Captures of one archive file, and archive files of one Arrow batch.
-FILE_CAPTURES, BATCH_FILES = 1000, 4
+#: Bytes at which an archive file is full (one capture may pass them), and archive files of one Arrow batch.
+FILE_BYTES, BATCH_FILES = 32 << 20, 4
+#: A gzip member of nothing, which may follow any other: the text writer ends each row with it.
+NOTHING = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 RECORD = "warc_type string, record_id string, concurrent_to string, refers_to string, target_uri string, warc_date string, payload_digest string, payload_bytes long, intact boolean, fields map<string,string>, payload binary"
 
 
@@ -36,8 +38,11 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
-def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write a request, a response or revisit, and a metadata record per page to WARC 1.1 files under path (gzip).
+def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """Write a request, a response or revisit, and a metadata record per page to WARC 1.1 files under path.
+
+    Each record is a gzip member of its own, so that a reader can begin at any record. A file ends with
+    the capture that brings it to ``file_bytes`` bytes, as compressed.
 
     Of pages whose payloads (the html in UTF-8; null is empty) are equal and of at least ``least`` bytes,
     those with the smallest id are responses and the others revisits of the first of them; null ids come
@@ -75,12 +80,37 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n")),
     )
     rows = rows.withColumn("own", own)
-    # the text writer ends each row with the blank lines that end a record
-    rows.select(F.concat(request, F.lit(END), capture, F.lit(END), metadata).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).mode("overwrite").text(path)
+    small_batches(pages.sparkSession)
+
+    def archive(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        def member(record):
+            z = zlib.compressobj(6, zlib.DEFLATED, 31)
+            return z.compress(record) + z.compress(END.encode()) + z.flush()
+
+        held, size = [], 0
+        for b in batches:
+            for capture_records in zip(*b.columns, strict=True):
+                for r in capture_records:
+                    held.append(member(r.as_buffer()))
+                    size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)])], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)])], names=["value"])
+
+    files = rows.select(*(c.cast("binary").alias(n) for n, c in (("request", request), ("capture", capture), ("metadata", metadata)))).mapInArrow(archive, "value binary")
+    # a row is a file; a cast to string leaves the bytes as they are, and in ISO-8859-1 so are those of NOTHING
+    files = files.select(F.col("value").cast("string"))
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record of the WARC files (gzip or plain) under path; RECORD has the columns.
+    """One row per record of the WARC files (gzip, of one or many members, or plain) under path; RECORD has the columns.
 
     Files are read by Spark and parsed record by record by Content-Length, so a payload may hold anything.
     payload is the entity after the HTTP header of a response, ``intact`` tells whether its SHA-1 is the
