@@ -272,6 +272,37 @@ def test_line_dedup_finds_near_pairs(spark):
     assert len(near) > 40 and found >= 0.9 * len(near)
 
 
+def test_line_dedup_large_buckets(spark, monkeypatch):
+    """Meeting by unusual shingles gives the components that comparing all lines of a bucket gives."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7)))
+    lines = []
+    for size, passage in ((60, 40), (90, 50)):
+        base = [word() for _ in range(passage)]
+        for i in range(size):
+            copy = list(base)
+            if passage == 40:  # a passage with more or less text of a line's own
+                copy += [word() for _ in range(rng.randint(1, 20))]
+            else:  # an edited copy
+                for _ in range(rng.randint(0, 9)):
+                    copy[rng.randrange(len(copy))] = word()
+            lines.append(" ".join(copy))
+    lines = sorted(set(lines))
+    table = spark.createDataFrame([(s,) for s in lines], "s string").select(F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), "s")
+    number = {(r.h1, r.h2): r.s for r in table.collect()}
+
+    def components(small):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        root = {number[(r.h1, r.h2)]: (r.r1, r.r2) for r in line_dedup.near_lines(table, Scratch(spark, "large")).collect()}
+        groups = {}
+        for s in lines:
+            groups.setdefault(root.get(s, s), set()).add(s)
+        return {frozenset(g) for g in groups.values()}
+
+    by_pairs, by_shingles = components(10**6), components(3)
+    assert by_shingles == by_pairs and max(map(len, by_pairs)) > 20 and len(by_pairs) > 5
+
+
 def test_line_dedup_rows(docs, empty):
     out = line_dedup.dedup_lines(docs)
     assert out.count() == docs.count() and out.filter("text is null").count() == 2

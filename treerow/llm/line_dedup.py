@@ -17,6 +17,8 @@ HASHES = 12
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
 #: Bits of each min-hash in a line's sketch, and the min-hashes that must agree where many lines of a bucket are apart (0.98 do at the threshold).
 SLOT, AGREE = 5, 7
+#: Lines of a bucket, still apart, up to which they are compared with each other; in larger ones only those that share a rare shingle are.
+SMALL = 32
 _STEP = 4096
 
 
@@ -49,15 +51,9 @@ def _grams(line: str) -> str:
     return f"transform(array(encode({line}, 'UTF-16BE')), p -> transform(sequence(1, greatest(octet_length(p) - {2 * SHINGLE - 1}, 1), 2), i -> xxhash64(substring(p, i, {2 * SHINGLE}))))[0]"
 
 
-def _near(a: str, b: str) -> Column:
-    """Whether two lines' sets of shingles have similarity SIMILAR, exactly."""
-    both = f"transform(array(struct({_grams(a)} as x, {_grams(b)} as y)), g -> size(array_intersect(g.x, g.y)) * {SIMILAR[1]} >= size(array_union(g.x, g.y)) * {SIMILAR[0]})[0]"
-    return F.expr(both)
-
-
-def _small_set(line: str) -> str:
-    """SQL: n, the number of a line's distinct shingles, and set, their hashes cut to 15 bits."""
-    return f"transform(array({_grams(line)}), g -> struct(size(array_distinct(g)) as n, array_distinct(transform(g, v -> cast(v & 32767 as smallint))) as set))[0]"
+def _shared(a: str, b: str) -> Column:
+    """(both, any): the shingles that two lines have in common, and those that either has."""
+    return F.expr(f"transform(array(struct({_grams(a)} as x, {_grams(b)} as y)), g -> struct(size(array_intersect(g.x, g.y)) as both, size(array_union(g.x, g.y)) as any))[0]")
 
 
 def _may_be_near(n: str, a: str, m: str, b: str) -> str:
@@ -90,16 +86,71 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return mins.select("h1", "h2", sketch.alias("sketch"), *(F.xxhash64(F.lit(b), *(f"m{k}" for k in ks)).alias(f"b{b}") for b, ks in enumerate(BANDS)))
 
 
+def _sizes_fit() -> Column:
+    """Whether the numbers of shingles n and n_b allow the similarity."""
+    return SIMILAR[1] * F.least("n", "n_b") >= SIMILAR[0] * F.greatest("n", "n_b")
+
+
+def _met_in_small(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of lines in small buckets that may be near."""
+    short = sets.select("x", "n", F.expr("array_distinct(transform(g, v -> cast(v & 32767 as smallint)))").alias("set"))
+    rows = placed.drop("lines").join(found.select("x", "sketch").join(short, "x"), "x")
+    a, b = rows.filter("not near"), rows.select(*(F.col(c).alias(f"{c}_b") for c in rows.columns))
+    once = F.col("near_b") | (F.col("x") < F.col("x_b"))
+    open_ = once & (F.col("root") != F.col("root_b")) & _agree("sketch", "sketch_b") & _sizes_fit()
+    pairs = a.join(b, (F.col("bucket") == F.col("bucket_b")) & F.when(open_, F.expr(_may_be_near("n", "set", "n_b", "set_b"))).otherwise(False))
+    return pairs.select(F.least("x", "x_b").alias("u"), F.greatest("x", "x_b").alias("v"))
+
+
+def _met_in_large(placed: DataFrame, centres: DataFrame, found: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of lines in large buckets that may be near; ``centres`` has bucket, u: three rows at most.
+
+    With D the shingles by which a line differs from one centre and d their number, two lines differ by
+    d + d_b - 2 k shingles, k being those in D and D_b. A line that isn't near the centre has p d > q (n + n_c),
+    so to be near another it must share with that one more than half, nearly, of D_b. So lines meet only
+    by shingles of D: what both have of a passage, or of the text that they are copies of, isn't in it.
+    """
+    low, high = SIMILAR
+    p, q = low + high, high - low  # near: q (n + n_b) >= p times the shingles by which two lines differ
+    marks = scratch.write(centres.join(sets.select(F.col("x").alias("u"), F.col("n").alias("nc"), F.col("g").alias("c")), "u"), "marks")
+    rows = placed.select("bucket", "x", "root").join(sets, "x").join(found.select("x", "sketch"), "x")
+    tried = rows.join(marks, "bucket").groupBy("bucket", "u").agg(F.count_if(F.expr(f"size(array_intersect(g, c)) * {p} >= (n + nc) * {low}")).alias("met"))
+    chosen = tried.groupBy("bucket").agg(F.max(F.struct("met", "u")).alias("m")).select("bucket", F.col("m.u").alias("u"))
+    centre = marks.join(chosen, ["bucket", "u"])
+    rows = rows.join(centre.drop("u"), "bucket").withColumn("keys", F.expr("concat(array_except(g, c), array_except(c, g))"))
+    rows = scratch.write(rows.select("bucket", "x", "root", "sketch", "n", "nc", "keys"), "differing")
+    # by some shingles most lines differ from the centre: these come last in the order, and a bitmap tells exactly which of them two lines share
+    usual = rows.select("bucket", F.explode("keys").alias("key")).groupBy("bucket", "key").agg(F.count("*").alias("m"))
+    usual = usual.groupBy("bucket").agg(F.expr("slice(reverse(array_sort(collect_list(if(m > 8, struct(m, key), null)))), 1, 64).key").alias("h"))
+    usual = scratch.write(usual, "usual")
+    rows = rows.join(usual, "bucket").withColumn("bits", F.expr("aggregate(transform(h, (k, i) -> if(array_contains(keys, k), shiftleft(1L, i), 0L)), 0L, (p, q) -> p | q)"))
+    rows = rows.withColumn("rare", F.expr("array_sort(array_except(keys, h))")).withColumn("keys", F.expr("concat(rare, array_intersect(h, keys))"))
+    rows = rows.withColumn("d", F.size("keys")).withColumn("rare", F.size("rare")).withColumn("near", F.expr(f"(n + nc) * {q} >= d * {p}"))
+    # as the first shingle that two lines share has at least k - 1 others behind it in both
+    rows = rows.withColumn("meets", F.expr(f"d - cast(floor((d * {p} + (nc - n) * {q}) / {2 * p}) as int)"))
+    rows = rows.withColumn("asks", F.expr(f"if(near, 0, least(d, cast(floor(n * {q} / {low}) as int) + 1))"))
+    rows = rows.select("bucket", "x", "root", "sketch", "bits", "n", "d", "rare", "near", "meets", "asks", F.posexplode(F.expr("slice(keys, 1, greatest(meets, asks))")).alias("i", "key"))
+    keys = scratch.write(rows.withColumn("key", F.xxhash64("bucket", "key")).drop("bucket"), "keys")
+    a, b = keys.filter("i < asks").drop("near", "meets", "asks"), keys.filter("i < meets").drop("meets", "asks")
+    b = b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns))
+    open_ = (F.col("near_b") | (F.col("x") < F.col("x_b"))) & (F.col("root") != F.col("root_b")) & _sizes_fit()
+    k = F.bit_count(F.col("bits").bitwiseAND(F.col("bits_b"))) + F.greatest(F.least(F.col("rare") - F.col("i"), F.col("rare_b") - F.col("i_b")), F.lit(0))
+    enough = k * (2 * p) >= (F.col("d") + F.col("d_b")) * p - (F.col("n") + F.col("n_b")) * q
+    pairs = a.join(b, (F.col("key") == F.col("key_b")) & open_ & enough & _agree("sketch", "sketch_b"))
+    return pairs.select(F.least("x", "x_b").alias("u"), F.greatest("x", "x_b").alias("v"))
+
+
 def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(h1, h2, r1, r2): the component (r1, r2) of each line hash that has near duplicates.
 
     ``lines`` has h1, h2 and the normalised line s; equal lines are one node throughout. In a band's
     bucket all lines are compared with a centre, the line that meets most others, and those that aren't near
-    it with a centre of their own; these links give components. Only buckets that then still hold lines of
-    several components are looked at again: of their pairs, those of one component, those that were compared
-    already, those whose sketches agree in fewer than AGREE min-hashes, and those whose sets of shortened
-    shingle hashes prove them apart don't leave the join; a pair leaves it once, in the least bucket that it
-    shares, and is compared exactly.
+    it with the line most like it, which is nearer to the middle of a family of copies; lines still apart are
+    compared with the shortest of them. These links give components. Only buckets that then still
+    hold lines of several components are looked at again, for pairs of different components whose sketches
+    agree in AGREE min-hashes. Up to SMALL lines, a bucket's lines meet each other, and sets of shortened
+    shingle hashes prove most pairs apart. In a larger bucket lines meet only by shingles that are unusual
+    in it, which near lines must share if one isn't near the centre. What is left is compared exactly.
     """
     with _one_level_maps(scratch.spark):
         signed = scratch.write(_signatures(lines), "signatures")
@@ -114,43 +165,47 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.write(lines.join(named.hint("shuffle_hash"), ["h1", "h2"]).select("x", "s").dropDuplicates(["x"]), "texts")
     members = found.select(F.explode("buckets").alias("bucket"), "x", "w")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) that are near."""
-        both = pairs.join(texts.select(F.col("x").alias("v"), F.col("s").alias("sv")), "v").join(texts.select(F.col("x").alias("u"), F.col("s").alias("su")), "u")
-        return both.filter(_near("su", "sv")).select("u", "v")
-
-    def star(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Each row's line against the weightiest of its bucket: the near pairs, and (bucket, x, w, near, centre)."""
-        centres = scratch.write(rows.groupBy("bucket").agg(F.max(F.struct("w", "x")).alias("c")).select("bucket", F.col("c.x").alias("u")), f"{name}_centres")
-        pairs = scratch.write(rows.select("bucket", F.col("x").alias("v"), "w").join(centres, "bucket"), f"{name}_pairs")
+    def star(rows: DataFrame, centres: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Each row's line against its bucket's centre (bucket, u), if there is one: the near pairs, and (bucket, u, x, near, centre, alike)."""
+        centres = scratch.write(centres, f"{name}_centres")
+        pairs = scratch.write(rows.select("bucket", F.col("x").alias("v")).join(centres, "bucket", "left"), f"{name}_pairs")
         wanted = pairs.filter("u <> v").select("u", "v").distinct()
-        links = scratch.write(compared(wanted), name)
-        out = pairs.join(links.withColumn("near", F.lit(True)), ["u", "v"], "left")
-        centre = F.col("u") == F.col("v")
-        return links, scratch.write(out.select("bucket", F.col("v").alias("x"), "w", (F.coalesce("near", F.lit(False)) | centre).alias("near"), centre.alias("centre")), f"{name}_rows")
-
-    first, first_rows = star(members, "first")
-    second, second_rows = star(first_rows.filter("not near").select("bucket", "x", "w"), "second")
-    known = connected_components(first.union(second), scratch, "known")
+        both = wanted.join(texts.select(F.col("x").alias("v"), F.col("s").alias("sv")), "v").join(texts.select(F.col("x").alias("u"), F.col("s").alias("su")), "u")
+        both = both.select("u", "v", _shared("su", "sv").alias("g"))
+        links = scratch.write(both.filter(f"g.both * {SIMILAR[1]} >= g.any * {SIMILAR[0]}").select("u", "v", F.expr("g.both / g.any").alias("alike")), name)
+        out = pairs.join(links, ["u", "v"], "left")
+        centre = F.coalesce(F.col("u") == F.col("v"), F.lit(False))
+        out = out.select("bucket", "u", F.col("v").alias("x"), (F.col("alike").isNotNull() | centre).alias("near"), centre.alias("centre"), "alike")
+        return links.select("u", "v"), scratch.write(out, f"{name}_rows")
+
+    def best(rows: DataFrame, by: str) -> DataFrame:
+        return rows.groupBy("bucket").agg(F.max(F.struct(by, "x")).alias("c")).select("bucket", F.col("c.x").alias("u"))
+
+    first, first_rows = star(members, best(members, "w"), "first")
+    # buckets with one centre are of one family, mostly: from here on they are one bucket, named by the centre
+    first_rows = scratch.write(first_rows.filter("not centre").select(F.col("u").alias("bucket"), "x", "near", "alike").distinct(), "families")
+    second, second_rows = star(first_rows.filter("not near"), best(first_rows.filter("near"), "alike"), "second")
+    apart = second_rows.filter("not near").select("bucket", "x")
+    third, _ = star(apart, best(apart.join(texts.select("x", (-F.length("s")).alias("short")), "x"), "short"), "third")
+    known = connected_components(first.union(second).union(third), scratch, "known")
     known = scratch.write(known.select(F.col("node").alias("x"), "root"), "known")
-    # all of a bucket that has several lines apart or a component besides: near lines were compared with the first centre, the rest with both
-    apart = second_rows.select("bucket", "x", F.col("centre").alias("centre2"))
-    placed = first_rows.filter("not centre").join(apart, ["bucket", "x"], "left")
-    placed = placed.join(known, "x", "left").select("bucket", "x", "near", F.coalesce("centre2", F.lit(False)).alias("centre2"), F.coalesce("root", "x").alias("root"))
+    # all of a bucket that has several lines apart or a component besides: all lines were compared with the first centre
+    placed = first_rows.select("bucket", "x", "near").join(known, "x", "left").select("bucket", "x", "near", F.coalesce("root", "x").alias("root"))
     placed = scratch.write(placed, "roots")
-    several = scratch.write(placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("bucket"), "several")
-    placed = scratch.write(placed.join(several, "bucket", "left_semi"), "apart")
-    sets = texts.join(placed.select("x").distinct(), "x").select("x", F.expr(_small_set("s")).alias("g")).select("x", "g.n", "g.set")
-    placed = scratch.write(placed.join(found.select("x", "sketch", "buckets").join(sets, "x"), "x"), "placed")
-    scratch.drop("roots", "several", "apart")
-    a, b = placed.filter("not near"), placed.select(F.col("bucket").alias("bucket_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "near", "centre2", "root", "sketch", "buckets", "n", "set")))
-    once = F.col("near_b") | (F.col("x") < F.col("x_b")) & ~F.col("centre2") & ~F.col("centre2_b")
-    open_ = once & (F.col("root") != F.col("root_b")) & _agree("sketch", "sketch_b")
-    open_ = open_ & (5 * F.least("n", "n_b") >= 4 * F.greatest("n", "n_b"))
-    open_ = F.when(open_, F.array_min(F.array_intersect("buckets", "buckets_b")) == F.col("bucket")).otherwise(False)
-    rest = a.join(b, (F.col("bucket") == F.col("bucket_b")) & F.when(open_, F.expr(_may_be_near("n", "set", "n_b", "set_b"))).otherwise(False))
-    more = scratch.write(compared(rest.select(F.col("x").alias("u"), F.col("x_b").alias("v"))), "more")
-    scratch.drop("placed")
+    several = scratch.write(placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("lines")).filter("a <> z").select("bucket", "lines"), "several")
+    placed = scratch.write(placed.join(several, "bucket"), "apart")
+    large = F.col("lines") > SMALL
+    centres = several.select("bucket", F.col("bucket").alias("u"))
+    for name in ("second", "third"):
+        centres = centres.union(scratch.spark.read.parquet(scratch.path(f"{name}_centres")).select("bucket", "u"))
+    centres = scratch.write(centres.join(several.filter(large), "bucket", "left_semi"), "centres")
+    sets = texts.join(placed.select("x").union(centres.select("u")).distinct(), "x").select("x", F.expr(f"array_sort(array_distinct({_grams('s')}))").alias("g"))
+    sets = scratch.write(sets.select("x", F.size("g").alias("n"), "g"), "sets")
+    more = _met_in_small(placed.filter(~large), found, sets).union(_met_in_large(placed.filter(large), centres, found, sets, scratch))
+    more = scratch.write(more.distinct(), "met")
+    both = more.join(sets.select(F.col("x").alias("u"), F.col("n").alias("nu"), F.col("g").alias("gu")), "u").join(sets.select(F.col("x").alias("v"), F.col("n").alias("nv"), F.col("g").alias("gv")), "v")
+    more = scratch.write(both.filter(F.expr(f"size(array_intersect(gu, gv)) * {sum(SIMILAR)} >= (nu + nv) * {SIMILAR[0]}")).select("u", "v"), "more")
+    scratch.drop("roots", "several", "apart", "centres", "sets", "marks", "differing", "usual", "keys", "met")
     edges = known.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v")).union(more)
     parts = connected_components(edges, scratch, "components")
     roots = parts.join(named.withColumnRenamed("x", "node"), "node").select("h1", "h2", "root")
