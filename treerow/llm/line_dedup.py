@@ -19,6 +19,8 @@ BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2,
 SLOT, AGREE = 5, 7
 #: Lines of a bucket, still apart, up to which they are compared with each other; in larger ones only those that share a rare shingle are.
 SMALL = 32
+#: Words of 64 bits, each the parities of a line's shingles that fall on it: those in which two lines' words differ bound their shingles apart.
+WORDS = 16
 _STEP = 4096
 
 
@@ -125,18 +127,22 @@ def _met_in_large(placed: DataFrame, centres: DataFrame, found: DataFrame, sets:
     usual = scratch.write(usual, "usual")
     rows = rows.join(usual, "bucket").withColumn("bits", F.expr("aggregate(transform(h, (k, i) -> if(array_contains(keys, k), shiftleft(1L, i), 0L)), 0L, (p, q) -> p | q)"))
     rows = rows.withColumn("rare", F.expr("array_sort(array_except(keys, h))")).withColumn("keys", F.expr("concat(rare, array_intersect(h, keys))"))
+    odd = f"transform(sequence(0, {WORDS - 1}), j -> aggregate(filter(rare, v -> shiftright(v, 6) & {WORDS - 1} = j), 0L, (w, v) -> w ^ shiftleft(1L, cast(v & 63 as int))))"
+    rows = rows.withColumn("odd", F.expr(odd))
     rows = rows.withColumn("d", F.size("keys")).withColumn("rare", F.size("rare")).withColumn("near", F.expr(f"(n + nc) * {q} >= d * {p}"))
     # as the first shingle that two lines share has at least k - 1 others behind it in both
     rows = rows.withColumn("meets", F.expr(f"d - cast(floor((d * {p} + (nc - n) * {q}) / {2 * p}) as int)"))
     rows = rows.withColumn("asks", F.expr(f"if(near, 0, least(d, cast(floor(n * {q} / {low}) as int) + 1))"))
-    rows = rows.select("bucket", "x", "root", "sketch", "bits", "n", "d", "rare", "near", "meets", "asks", F.posexplode(F.expr("slice(keys, 1, greatest(meets, asks))")).alias("i", "key"))
+    rows = rows.select("bucket", "x", "root", "sketch", "bits", "odd", "n", "d", "rare", "near", "meets", "asks", F.posexplode(F.expr("slice(keys, 1, greatest(meets, asks))")).alias("i", "key"))
     keys = scratch.write(rows.withColumn("key", F.xxhash64("bucket", "key")).drop("bucket"), "keys")
     a, b = keys.filter("i < asks").drop("near", "meets", "asks"), keys.filter("i < meets").drop("meets", "asks")
     b = b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns))
     open_ = (F.col("near_b") | (F.col("x") < F.col("x_b"))) & (F.col("root") != F.col("root_b")) & _sizes_fit()
     k = F.bit_count(F.col("bits").bitwiseAND(F.col("bits_b"))) + F.greatest(F.least(F.col("rare") - F.col("i"), F.col("rare_b") - F.col("i_b")), F.lit(0))
     enough = k * (2 * p) >= (F.col("d") + F.col("d_b")) * p - (F.col("n") + F.col("n_b")) * q
-    pairs = a.join(b, (F.col("key") == F.col("key_b")) & open_ & enough & _agree("sketch", "sketch_b"))
+    apart = reduce(lambda m, w: m + w, (F.bit_count(F.col("odd")[j].bitwiseXOR(F.col("odd_b")[j])) for j in range(WORDS)), F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b"))))
+    fit = apart * p <= (F.col("n") + F.col("n_b")) * q
+    pairs = a.join(b, (F.col("key") == F.col("key_b")) & open_ & enough & _agree("sketch", "sketch_b") & fit)
     return pairs.select(F.least("x", "x_b").alias("u"), F.greatest("x", "x_b").alias("v"))
 
 
@@ -165,14 +171,17 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.write(lines.join(named.hint("shuffle_hash"), ["h1", "h2"]).select("x", "s").dropDuplicates(["x"]), "texts")
     members = found.select(F.explode("buckets").alias("bucket"), "x", "w")
 
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(u, v, g): the shingles that the lines of each pair share."""
+        both = pairs.join(texts.select(F.col("x").alias("v"), F.col("s").alias("sv")), "v").join(texts.select(F.col("x").alias("u"), F.col("s").alias("su")), "u")
+        return both.select("u", "v", _shared("su", "sv").alias("g"))
+
     def star(rows: DataFrame, centres: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Each row's line against its bucket's centre (bucket, u), if there is one: the near pairs, and (bucket, u, x, near, centre, alike)."""
         centres = scratch.write(centres, f"{name}_centres")
         pairs = scratch.write(rows.select("bucket", F.col("x").alias("v")).join(centres, "bucket", "left"), f"{name}_pairs")
         wanted = pairs.filter("u <> v").select("u", "v").distinct()
-        both = wanted.join(texts.select(F.col("x").alias("v"), F.col("s").alias("sv")), "v").join(texts.select(F.col("x").alias("u"), F.col("s").alias("su")), "u")
-        both = both.select("u", "v", _shared("su", "sv").alias("g"))
-        links = scratch.write(both.filter(f"g.both * {SIMILAR[1]} >= g.any * {SIMILAR[0]}").select("u", "v", F.expr("g.both / g.any").alias("alike")), name)
+        links = scratch.write(compared(wanted).filter(f"g.both * {SIMILAR[1]} >= g.any * {SIMILAR[0]}").select("u", "v", F.expr("g.both / g.any").alias("alike")), name)
         out = pairs.join(links, ["u", "v"], "left")
         centre = F.coalesce(F.col("u") == F.col("v"), F.lit(False))
         out = out.select("bucket", "u", F.col("v").alias("x"), (F.col("alike").isNotNull() | centre).alias("near"), centre.alias("centre"), "alike")
@@ -203,8 +212,7 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.write(sets.select("x", F.size("g").alias("n"), "g"), "sets")
     more = _met_in_small(placed.filter(~large), found, sets).union(_met_in_large(placed.filter(large), centres, found, sets, scratch))
     more = scratch.write(more.distinct(), "met")
-    both = more.join(sets.select(F.col("x").alias("u"), F.col("n").alias("nu"), F.col("g").alias("gu")), "u").join(sets.select(F.col("x").alias("v"), F.col("n").alias("nv"), F.col("g").alias("gv")), "v")
-    more = scratch.write(both.filter(F.expr(f"size(array_intersect(gu, gv)) * {sum(SIMILAR)} >= (nu + nv) * {SIMILAR[0]}")).select("u", "v"), "more")
+    more = scratch.write(compared(more).filter(f"g.both * {SIMILAR[1]} >= g.any * {SIMILAR[0]}").select("u", "v"), "more")
     scratch.drop("roots", "several", "apart", "centres", "sets", "marks", "differing", "usual", "keys", "met")
     edges = known.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v")).union(more)
     parts = connected_components(edges, scratch, "components")
