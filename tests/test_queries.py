@@ -251,3 +251,18 @@ def test_plans_scan_only_what_they_need(spark, capsys):
     Engine(spark).pages(table).sql("SELECT a.href FROM document WHERE href = 'x'").explain()
     plan = capsys.readouterr().out
     assert "Exchange" not in plan and "inner_html" not in plan
+
+
+def test_tfidf_counts_references_as_its_sql_does(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from treerow.catalogue import CATALOGUE
+
+    titles = ["token = &quot;abc&quot; &amp; xy", "plum&amp;&am", "plum&amp;&amp", "pear &quo", "&quot;&quot;", "fig > fig", "Elbe &lt;b&gt;"]
+    html = [f"<html><body><h1>{t}</h1><footer>&copy; orchard &middot; row {i}</footer></body></html>" for i, t in enumerate(titles)]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").selectExpr("page_id", "'x' AS url", "html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    run, sql = CATALOGUE["tfidf_long"]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = sorted(map(tuple, run(spark, str(tmp_path)).collect()))
+    assert found == sorted(db.execute(sql).fetchall())
+    assert ["quot"] == [term for doc, node, term, _ in found if (doc, node) == (4, 2)]

@@ -18,7 +18,7 @@ def summarize(rows: DataFrame, order: list, limit: int | None) -> DataFrame:
 
 
 def term_scores(rows: DataFrame, key: list[str], kept: list[str], top_terms: int = 30, min_df: int = 1, max_df: int = 0, stopwords: bool = True) -> DataFrame:
-    """(key..., kept..., term, score): the best terms of each row's inner_html, the rows being the corpus; no term for a row without any.
+    """(key..., kept..., term, score): the best terms of each row's written_html, the rows being the corpus; no term for a row without any.
 
     score = share of the row's kept words x (ln((rows + 1) / (rows with the term + 1)) + 1); terms in fewer
     than min_df or more than max_df rows (0: no bound) go; ties go to the smaller term. Words are counted
@@ -26,7 +26,7 @@ def term_scores(rows: DataFrame, key: list[str], kept: list[str], top_terms: int
     of rows with each term, and of rows, are tables beside that.
     """
     total = rows.agg(F.count("*").alias("rows"))
-    words = tokenize(strip_html(F.col("inner_html")))
+    words = tokenize(strip_html(F.col("written_html")))
     if stopwords:
         words = F.filter(words, lambda w: ~w.isin(*STOPWORDS))
     counts = rows.select(*key, *kept, F.explode_outer(words).alias("term")).groupBy(*key, *kept, "term").agg(F.count("term").alias("n"))

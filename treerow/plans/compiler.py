@@ -160,7 +160,7 @@ class Compiler:
 
     def tfidf(self, q: Query, source: Documents) -> Result:
         tags = self.tags(q)
-        rows = self.limited(q, self.scan(q, source, tags, {"inner_html": tags}))
+        rows = self.limited(q, self.scan(q, source, tags, {"written_html": tags}))
         return Result(aggregates.tfidf(rows, dict(q.items[0].options)), ["node_id", "parent_id", "tag", "terms_score"])
 
     def table(self, q: Query, source: Documents) -> Result:

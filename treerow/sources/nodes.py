@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html import direct_text, flat_text, grid, inner_html, parse, text
+from .html import direct_text, flat_text, grid, inner_html, parse, text, written_html
 
 #: Optional columns that a scan computes only for the tags that need them (None: for all).
-COMPUTED = ("text", "inner_html", "direct_text", "flat_text", "grid")
+COMPUTED = ("text", "inner_html", "written_html", "direct_text", "flat_text", "grid")
 _CORE = [
     T.StructField("source_uri", T.StringType()),
     T.StructField("node_id", T.LongType(), False),
@@ -57,7 +57,7 @@ def nodes(docs: DataFrame, needs: Needs | None = None) -> DataFrame:
     def scan(batches):
         import pyarrow as pa
 
-        make = {"text": text, "inner_html": inner_html, "direct_text": direct_text, "flat_text": flat_text, "grid": grid}
+        make = {"text": text, "inner_html": inner_html, "written_html": written_html, "direct_text": direct_text, "flat_text": flat_text, "grid": grid}
         arrow = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), *[pa.int64()] * 5]
         arrow += [pa.list_(pa.list_(pa.string())) if c == "grid" else pa.string() for c in wanted]
 
