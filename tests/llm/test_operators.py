@@ -303,6 +303,26 @@ def test_line_dedup_large_buckets(spark, monkeypatch):
     assert by_shingles == by_pairs and max(map(len, by_pairs)) > 20 and len(by_pairs) > 5
 
 
+def test_line_dedup_writes_no_shingles_of_one_line(spark, monkeypatch):
+    """Lines of a large bucket whose differing shingles are theirs alone, or only shared by lines near the centre, write none of them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    passage = " ".join(word() for _ in range(30))
+    lines = [f"{passage} {' '.join(word() for _ in range(14))}" for _ in range(60)] + [f"{passage} x{k}" for k in range(3)]
+    written = {}
+
+    class Counting(Scratch):
+        def write(self, df, name, free=True):
+            out = super().write(df, name, free)
+            written[name] = out.count() if name == "keys" else None
+            return out
+
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
+    table = spark.createDataFrame([(s,) for s in lines], "s string").select(F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), "s")
+    assert line_dedup.near_lines(table, Counting(spark, "few")).select("r1", "r2").distinct().count() == 1
+    assert written["keys"] < 60 * 14
+
+
 def test_line_dedup_rows(docs, empty):
     out = line_dedup.dedup_lines(docs)
     assert out.count() == docs.count() and out.filter("text is null").count() == 2

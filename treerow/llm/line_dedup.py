@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
@@ -71,8 +73,9 @@ def _may_be_near(n: str, a: str, m: str, b: str) -> str:
 def _agree(a: str, b: str) -> Column:
     """Whether AGREE slots of two sketches are equal at least; equal min-hashes always are."""
     x = F.col(a).bitwiseXOR(F.col(b))
-    same = [(F.shiftrightunsigned(x, SLOT * k).bitwiseAND((1 << SLOT) - 1) == 0).cast("int") for k in range(HASHES)]
-    return reduce(lambda p, q: p + q, same) >= AGREE
+    # the lowest bit of each slot is set if any of the slot is: few operations, so that the join's code stays short enough to be compiled
+    folded = reduce(lambda p, k: p.bitwiseOR(F.shiftrightunsigned(x, k)), range(1, SLOT), x)
+    return F.bit_count(folded.bitwiseAND(F.lit(sum(1 << SLOT * k for k in range(HASHES))))) <= HASHES - AGREE
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -94,9 +97,8 @@ def _sizes_fit() -> Column:
 
 
 def _met_in_small(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of lines in small buckets that may be near."""
-    short = sets.select("x", "n", F.expr("array_distinct(transform(g, v -> cast(v & 32767 as smallint)))").alias("set"))
-    rows = placed.drop("lines").join(found.select("x", "sketch").join(short, "x"), "x")
+    """Pairs (u, v) of lines in small buckets that may be near; ``sets`` has x, n and the set of shortened hashes."""
+    rows = placed.drop("lines").join(found.select("x", "sketch").join(sets, "x"), "x")
     a, b = rows.filter("not near"), rows.select(*(F.col(c).alias(f"{c}_b") for c in rows.columns))
     once = F.col("near_b") | (F.col("x") < F.col("x_b"))
     open_ = once & (F.col("root") != F.col("root_b")) & _agree("sketch", "sketch_b") & _sizes_fit()
@@ -104,46 +106,70 @@ def _met_in_small(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataF
     return pairs.select(F.least("x", "x_b").alias("u"), F.greatest("x", "x_b").alias("v"))
 
 
-def _met_in_large(placed: DataFrame, centres: DataFrame, found: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (u, v) of lines in large buckets that may be near; ``centres`` has bucket, u: three rows at most.
+def _met_in_large(placed: DataFrame, known: DataFrame, found: DataFrame, stars: list[DataFrame], grams: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of lines in large buckets that may be near.
 
-    With D the shingles by which a line differs from one centre and d their number, two lines differ by
+    ``stars`` has (bucket, u, near) of further centres u, ``grams`` gives (x, n, g) of lines x. Buckets whose centres
+    are of one component are one here, with the one of three centres that most lines are near.
+    With D the shingles by which a line differs from the centre and d their number, two lines differ by
     d + d_b - 2 k shingles, k being those in D and D_b. A line that isn't near the centre has p d > q (n + n_c),
     so to be near another it must share with that one more than half, nearly, of D_b. So lines meet only
     by shingles of D: what both have of a passage, or of the text that they are copies of, isn't in it.
+    The order of shingles, the same in all of a bucket, begins with those that fewest lines have in D; those that
+    no line shares with one that asks take their places in it but meet nothing, so they are never written.
     """
     low, high = SIMILAR
     p, q = low + high, high - low  # near: q (n + n_b) >= p times the shingles by which two lines differ
-    marks = scratch.write(centres.join(sets.select(F.col("x").alias("u"), F.col("n").alias("nc"), F.col("g").alias("c")), "u"), "marks")
-    rows = placed.select("bucket", "x", "root").join(sets, "x").join(found.select("x", "sketch"), "x")
-    tried = rows.join(marks, "bucket").groupBy("bucket", "u").agg(F.count_if(F.expr(f"size(array_intersect(g, c)) * {p} >= (n + nc) * {low}")).alias("met"))
-    chosen = tried.groupBy("bucket").agg(F.max(F.struct("met", "u")).alias("m")).select("bucket", F.col("m.u").alias("u"))
-    centre = marks.join(chosen, ["bucket", "u"])
-    rows = rows.join(centre.drop("u"), "bucket").withColumn("keys", F.expr("concat(array_except(g, c), array_except(c, g))"))
-    rows = scratch.write(rows.select("bucket", "x", "root", "sketch", "n", "nc", "keys"), "differing")
+    placed = placed.join(known.select(F.col("x").alias("bucket"), F.col("root").alias("family")), "bucket", "left").withColumn("family", F.coalesce("family", "bucket"))
+    placed = scratch.write(placed, "large")
+    kinds = [placed.groupBy("family", "bucket").agg(F.count_if("near").alias("met")).select("family", F.lit(0).alias("kind"), F.col("bucket").alias("u"), "met")]
+    of = placed.select("family", "bucket").distinct()
+    for i, rows in enumerate(stars, 1):
+        kinds.append(of.join(rows, "bucket").groupBy("family", "u").agg(F.count_if("near").alias("met")).select("family", F.lit(i).alias("kind"), "u", "met"))
+    centres = reduce(DataFrame.union, kinds).groupBy("family", "kind").agg(F.max(F.struct("met", "u")).alias("m")).select("family", F.col("m.u").alias("u")).distinct()
+    centres = scratch.write(centres, "centres")
+    marks = scratch.write(centres.join(grams(centres.select(F.col("u").alias("x")).distinct()).select(F.col("x").alias("u"), F.col("n").alias("nc"), F.col("g").alias("c")), "u"), "marks")
+    rows = placed.select("family", "x", "root").distinct()
+    rows = scratch.write(rows.join(grams(rows.select("x").distinct()), "x").join(found.select("x", "sketch"), "x"), "lines")
+    tried = rows.join(marks, "family").groupBy("family", "u").agg(F.count_if(F.expr(f"size(array_intersect(g, c)) * {p} >= (n + nc) * {low}")).alias("met"))
+    chosen = tried.groupBy("family").agg(F.max(F.struct("met", "u")).alias("m")).select("family", F.col("m.u").alias("u"))
+    chosen = chosen.join(known.select(F.col("x").alias("u"), F.col("root").alias("ru")), "u", "left").withColumn("ru", F.coalesce("ru", "u"))
+    rows = rows.join(marks.join(chosen, ["family", "u"]), "family")
+    rows = rows.select(F.col("family").alias("bucket"), "x", "root", "u", "ru", "sketch", "n", "nc", F.expr("concat(array_except(g, c), array_except(c, g))").alias("keys"))
+    rows = scratch.write(rows.withColumn("d", F.size("keys")).withColumn("near", F.expr(f"(n + nc) * {q} >= d * {p}")), "differing")
+    # not all lines have been compared with this centre: those near it are to be of its component
+    linked = scratch.write(rows.filter("near and root <> ru").select(F.least("x", "u").alias("u"), F.greatest("x", "u").alias("v")), "linked")
+    scratch.drop("large", "centres", "marks", "lines")
+    each = rows.select("bucket", "x", "near", F.explode("keys").alias("key"))
+    # a shingle matters if several lines have it and one of them asks
+    common = scratch.write(each.groupBy("bucket", "key").agg(F.count("*").alias("m"), F.count_if(~F.col("near")).alias("asked")).filter("m > 1 and asked > 0").drop("asked"), "common")
     # by some shingles most lines differ from the centre: these come last in the order, and a bitmap tells exactly which of them two lines share
-    usual = rows.select("bucket", F.explode("keys").alias("key")).groupBy("bucket", "key").agg(F.count("*").alias("m"))
-    usual = usual.groupBy("bucket").agg(F.expr("slice(reverse(array_sort(collect_list(if(m > 8, struct(m, key), null)))), 1, 64).key").alias("h"))
-    usual = scratch.write(usual, "usual")
-    rows = rows.join(usual, "bucket").withColumn("bits", F.expr("aggregate(transform(h, (k, i) -> if(array_contains(keys, k), shiftleft(1L, i), 0L)), 0L, (p, q) -> p | q)"))
-    rows = rows.withColumn("rare", F.expr("array_sort(array_except(keys, h))")).withColumn("keys", F.expr("concat(rare, array_intersect(h, keys))"))
-    odd = f"transform(sequence(0, {WORDS - 1}), j -> aggregate(filter(rare, v -> shiftright(v, 6) & {WORDS - 1} = j), 0L, (w, v) -> w ^ shiftleft(1L, cast(v & 63 as int))))"
-    rows = rows.withColumn("odd", F.expr(odd))
-    rows = rows.withColumn("d", F.size("keys")).withColumn("rare", F.size("rare")).withColumn("near", F.expr(f"(n + nc) * {q} >= d * {p}"))
+    rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("m"), "key"))
+    usual = common.filter("m > 8").withColumn("r", rank).filter("r <= 64").select("bucket", "key", "r")
+    ranked = scratch.write(common.join(usual, ["bucket", "key"], "left"), "ranked")
+    shared = each.join(ranked, ["bucket", "key"]).groupBy("bucket", "x").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce(-F.col("r"), F.lit(-65)).alias("r"), "m", "key"))).alias("shared"), F.count("r").alias("often"), F.bit_or(F.when(F.col("r").isNull(), 0).otherwise(F.expr("shiftleft(1L, r - 1)"))).alias("bits")
+    )
+    shared = scratch.write(shared.withColumn("shared", F.col("shared.key")), "shared")
+    word = lambda j: F.bit_xor(F.when(F.shiftright("key", 6).bitwiseAND(WORDS - 1) == j, F.expr("shiftleft(1L, cast(key & 63 as int))")).otherwise(0))
+    odd = each.groupBy("bucket", "x").agg(*(word(j).alias(f"w{j}") for j in range(WORDS))).select("bucket", "x", F.array(*(f"w{j}" for j in range(WORDS))).alias("odd"))
+    rows = rows.drop("keys", "u", "ru").join(shared, ["bucket", "x"]).withColumn("rare", F.col("d") - F.col("often")).withColumn("alone", F.expr("d - size(shared)"))
     # as the first shingle that two lines share has at least k - 1 others behind it in both
     rows = rows.withColumn("meets", F.expr(f"d - cast(floor((d * {p} + (nc - n) * {q}) / {2 * p}) as int)"))
     rows = rows.withColumn("asks", F.expr(f"if(near, 0, least(d, cast(floor(n * {q} / {low}) as int) + 1))"))
-    rows = rows.select("bucket", "x", "root", "sketch", "bits", "odd", "n", "d", "rare", "near", "meets", "asks", F.posexplode(F.expr("slice(keys, 1, greatest(meets, asks))")).alias("i", "key"))
-    keys = scratch.write(rows.withColumn("key", F.xxhash64("bucket", "key")).drop("bucket"), "keys")
+    rows = rows.filter("greatest(meets, asks) > alone").join(odd, ["bucket", "x"])
+    rows = rows.select("bucket", "x", "root", "sketch", "bits", "odd", "n", "d", "rare", "near", "meets", "asks", "alone", F.posexplode(F.expr("slice(shared, 1, greatest(meets, asks) - alone)")).alias("i", "key"))
+    keys = scratch.write(rows.withColumn("key", F.xxhash64("bucket", "key")).withColumn("i", F.col("i") + F.col("alone")).drop("bucket", "alone"), "keys")
+    scratch.drop("differing", "common", "ranked", "shared")
     a, b = keys.filter("i < asks").drop("near", "meets", "asks"), keys.filter("i < meets").drop("meets", "asks")
     b = b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns))
     open_ = (F.col("near_b") | (F.col("x") < F.col("x_b"))) & (F.col("root") != F.col("root_b")) & _sizes_fit()
     k = F.bit_count(F.col("bits").bitwiseAND(F.col("bits_b"))) + F.greatest(F.least(F.col("rare") - F.col("i"), F.col("rare_b") - F.col("i_b")), F.lit(0))
     enough = k * (2 * p) >= (F.col("d") + F.col("d_b")) * p - (F.col("n") + F.col("n_b")) * q
-    apart = reduce(lambda m, w: m + w, (F.bit_count(F.col("odd")[j].bitwiseXOR(F.col("odd_b")[j])) for j in range(WORDS)), F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b"))))
-    fit = apart * p <= (F.col("n") + F.col("n_b")) * q
-    pairs = a.join(b, (F.col("key") == F.col("key_b")) & open_ & enough & _agree("sketch", "sketch_b") & fit)
-    return pairs.select(F.least("x", "x_b").alias("u"), F.greatest("x", "x_b").alias("v"))
+    apart = f"aggregate(sequence(0, {WORDS - 1}), 0, (m, j) -> m + bit_count(odd[j] ^ odd_b[j]))"
+    fit = F.when(open_ & enough & _agree("sketch", "sketch_b"), F.expr(f"{apart} * {p} <= (n + n_b) * {q}")).otherwise(False)
+    pairs = a.join(b, (F.col("key") == F.col("key_b")) & fit)
+    return pairs.select(F.least("x", "x_b").alias("u"), F.greatest("x", "x_b").alias("v")).union(linked)
 
 
 def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -195,7 +221,7 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     first_rows = scratch.write(first_rows.filter("not centre").select(F.col("u").alias("bucket"), "x", "near", "alike").distinct(), "families")
     second, second_rows = star(first_rows.filter("not near"), best(first_rows.filter("near"), "alike"), "second")
     apart = second_rows.filter("not near").select("bucket", "x")
-    third, _ = star(apart, best(apart.join(texts.select("x", (-F.length("s")).alias("short")), "x"), "short"), "third")
+    third, third_rows = star(apart, best(apart.join(texts.select("x", (-F.length("s")).alias("short")), "x"), "short"), "third")
     known = connected_components(first.union(second).union(third), scratch, "known")
     known = scratch.write(known.select(F.col("node").alias("x"), "root"), "known")
     # all of a bucket that has several lines apart or a component besides: all lines were compared with the first centre
@@ -204,16 +230,20 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     several = scratch.write(placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("lines")).filter("a <> z").select("bucket", "lines"), "several")
     placed = scratch.write(placed.join(several, "bucket"), "apart")
     large = F.col("lines") > SMALL
-    centres = several.select("bucket", F.col("bucket").alias("u"))
-    for name in ("second", "third"):
-        centres = centres.union(scratch.spark.read.parquet(scratch.path(f"{name}_centres")).select("bucket", "u"))
-    centres = scratch.write(centres.join(several.filter(large), "bucket", "left_semi"), "centres")
-    sets = texts.join(placed.select("x").union(centres.select("u")).distinct(), "x").select("x", F.expr(f"array_sort(array_distinct({_grams('s')}))").alias("g"))
-    sets = scratch.write(sets.select("x", F.size("g").alias("n"), "g"), "sets")
-    more = _met_in_small(placed.filter(~large), found, sets).union(_met_in_large(placed.filter(large), centres, found, sets, scratch))
-    more = scratch.write(more.distinct(), "met")
-    more = scratch.write(compared(more).filter(f"g.both * {SIMILAR[1]} >= g.any * {SIMILAR[0]}").select("u", "v"), "more")
-    scratch.drop("roots", "several", "apart", "centres", "sets", "marks", "differing", "usual", "keys", "met")
+
+    def grams(wanted: DataFrame) -> DataFrame:
+        """(x, n, g): the shingles of the lines x and their number."""
+        return texts.join(wanted, "x").select("x", F.expr(f"array_distinct({_grams('s')})").alias("g")).select("x", F.size("g").alias("n"), "g")
+
+    # shortened hashes are all that small buckets need
+    short = F.expr("array_distinct(transform(g, v -> cast(v & 32767 as smallint)))")
+    sets = scratch.write(grams(placed.filter(~large).select("x").distinct()).select("x", "n", short.alias("set")), "sets")
+    more = scratch.write(_met_in_small(placed.filter(~large), found, sets).distinct(), "met_in_small")
+    scratch.drop("sets")
+    more = more.union(scratch.write(_met_in_large(placed.filter(large), known, found, [second_rows, third_rows], grams, scratch).distinct(), "met_in_large"))
+    scratch.drop("linked", "keys")
+    more = scratch.write(compared(more.distinct()).filter(f"g.both * {SIMILAR[1]} >= g.any * {SIMILAR[0]}").select("u", "v"), "more")
+    scratch.drop("roots", "several", "apart", "met_in_small", "met_in_large")
     edges = known.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v")).union(more)
     parts = connected_components(edges, scratch, "components")
     roots = parts.join(named.withColumnRenamed("x", "node"), "node").select("h1", "h2", "root")
