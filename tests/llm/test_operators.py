@@ -323,6 +323,38 @@ def test_line_dedup_writes_no_shingles_of_one_line(spark, monkeypatch):
     assert written["keys"] < 60 * 14
 
 
+def test_line_dedup_large_buckets_without_rows_per_shingle(spark, monkeypatch):
+    """A large bucket's lines meet its shared shingles as an array, not in a join by shingle, which gives the same beyond LISTED."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7)))
+    passage = [word() for _ in range(40)]
+    own = [[word() for _ in range(18)] for _ in range(30)]
+    lines = sorted({" ".join(passage + w[: len(w) - cut]) for w in own for cut in range(3)} | {" ".join(passage + [word()]) for _ in range(10)})
+    table = spark.createDataFrame([(s,) for s in lines], "s string").select(F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), "s")
+    seen = {}
+
+    class Plans(Scratch):
+        def write(self, df, name, free=True):
+            if name in ("shared", "shared_singly"):
+                seen[name] = df._jdf.queryExecution().optimizedPlan().toString()
+            out = super().write(df, name, free)
+            if name in ("shared", "keys"):
+                seen[name, "rows"] = sorted(map(str, out.collect()))
+            return out
+
+    def run(listed):
+        seen.clear()
+        monkeypatch.setattr(line_dedup, "LISTED", listed)
+        near = line_dedup.near_lines(table, Plans(spark, "listed")).collect()
+        return sorted((r.h1, r.h2, r.r1, r.r2) for r in near), dict(seen)
+
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
+    near, tables = run(line_dedup.LISTED)
+    assert tables["shared", "rows"] and not any("Join" in x and "key#" in x for x in tables["shared"].splitlines())
+    by_row, singly = run(0)
+    assert by_row == near and near and singly["shared", "rows"] == tables["shared", "rows"] and singly["keys", "rows"] == tables["keys", "rows"]
+
+
 def test_line_dedup_rows(docs, empty):
     out = line_dedup.dedup_lines(docs)
     assert out.count() == docs.count() and out.filter("text is null").count() == 2

@@ -21,6 +21,8 @@ BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2,
 SLOT, AGREE = 5, 7
 #: Lines of a bucket, still apart, up to which they are compared with each other; in larger ones only those that share a rare shingle are.
 SMALL = 32
+#: Shared shingles of a large bucket up to which each of its lines meets them as one array; those of a larger one are joined shingle by shingle.
+LISTED = 1 << 15
 #: Words of 64 bits, each the parities of a line's shingles that fall on it: those in which two lines' words differ bound their shingles apart.
 WORDS = 16
 _STEP = 4096
@@ -146,11 +148,20 @@ def _met_in_large(placed: DataFrame, known: DataFrame, found: DataFrame, stars:
     # by some shingles most lines differ from the centre: these come last in the order, and a bitmap tells exactly which of them two lines share
     rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("m"), "key"))
     usual = common.filter("m > 8").withColumn("r", rank).filter("r <= 64").select("bucket", "key", "r")
-    ranked = scratch.write(common.join(usual, ["bucket", "key"], "left"), "ranked")
-    shared = each.join(ranked, ["bucket", "key"]).groupBy("bucket", "x").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce(-F.col("r"), F.lit(-65)).alias("r"), "m", "key"))).alias("shared"), F.count("r").alias("often"), F.bit_or(F.when(F.col("r").isNull(), 0).otherwise(F.expr("shiftleft(1L, r - 1)"))).alias("bits")
+    sizes = common.groupBy("bucket").agg((F.count("*") <= LISTED).alias("listed"))
+    ranked = scratch.write(common.join(usual, ["bucket", "key"], "left").join(sizes, "bucket"), "ranked")
+    place = F.struct(F.coalesce(-F.col("r"), F.lit(-65)).alias("r"), "m", "key")
+    # an intersection keeps the order of its first array: a line's shared shingles in the order of the bucket, without a row for each
+    lists = ranked.filter("listed").groupBy("bucket").agg(F.sort_array(F.collect_list(place)).alias("l"))
+    lists = lists.select("bucket", F.col("l.key").alias("ranks"), F.expr("filter(l, s -> s.r > -65)").alias("top"))
+    bits = F.expr("transform(array(array_intersect(top.key, keys)), had -> aggregate(top, 0L, (b, s) -> if(array_contains(had, s.key), b | shiftleft(1L, -s.r - 1), b)))[0]")
+    whole = rows.select("bucket", "x", "keys").join(lists, "bucket").select("bucket", "x", F.array_intersect("ranks", "keys").alias("shared"), bits.alias("bits"))
+    single = rows.join(ranked.filter("not listed").select("bucket").distinct(), "bucket").select("bucket", "x", F.explode("keys").alias("key"))
+    single = single.join(ranked.filter("not listed"), ["bucket", "key"]).groupBy("bucket", "x").agg(
+        F.sort_array(F.collect_list(place)).alias("shared"), F.bit_or(F.when(F.col("r").isNull(), 0).otherwise(F.expr("shiftleft(1L, r - 1)"))).alias("bits")
     )
-    shared = scratch.write(shared.withColumn("shared", F.col("shared.key")), "shared")
+    single = scratch.write(single.withColumn("shared", F.col("shared.key")), "shared_singly")
+    shared = scratch.write(whole.union(single).filter("size(shared) > 0").withColumn("often", F.bit_count("bits")), "shared")
     word = lambda j: F.bit_xor(F.when(F.shiftright("key", 6).bitwiseAND(WORDS - 1) == j, F.expr("shiftleft(1L, cast(key & 63 as int))")).otherwise(0))
     odd = each.groupBy("bucket", "x").agg(*(word(j).alias(f"w{j}") for j in range(WORDS))).select("bucket", "x", F.array(*(f"w{j}" for j in range(WORDS))).alias("odd"))
     rows = rows.drop("keys", "u", "ru").join(shared, ["bucket", "x"]).withColumn("rare", F.col("d") - F.col("often")).withColumn("alone", F.expr("d - size(shared)"))
@@ -160,7 +171,7 @@ def _met_in_large(placed: DataFrame, known: DataFrame, found: DataFrame, stars:
     rows = rows.filter("greatest(meets, asks) > alone").join(odd, ["bucket", "x"])
     rows = rows.select("bucket", "x", "root", "sketch", "bits", "odd", "n", "d", "rare", "near", "meets", "asks", "alone", F.posexplode(F.expr("slice(shared, 1, greatest(meets, asks) - alone)")).alias("i", "key"))
     keys = scratch.write(rows.withColumn("key", F.xxhash64("bucket", "key")).withColumn("i", F.col("i") + F.col("alone")).drop("bucket", "alone"), "keys")
-    scratch.drop("differing", "common", "ranked", "shared")
+    scratch.drop("differing", "common", "ranked", "shared_singly", "shared")
     a, b = keys.filter("i < asks").drop("near", "meets", "asks"), keys.filter("i < meets").drop("meets", "asks")
     b = b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns))
     open_ = (F.col("near_b") | (F.col("x") < F.col("x_b"))) & (F.col("root") != F.col("root_b")) & _sizes_fit()
