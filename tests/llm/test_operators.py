@@ -355,6 +355,31 @@ def test_line_dedup_large_buckets_without_rows_per_shingle(spark, monkeypatch):
     assert by_row == near and near and singly["shared", "rows"] == tables["shared", "rows"] and singly["keys", "rows"] == tables["keys", "rows"]
 
 
+@pytest.mark.parametrize("words", [1, 1 << 18])
+def test_rows_that_nothing_meets_are_not_dealt(spark, monkeypatch, words):
+    monkeypatch.setattr(line_dedup, "FILTER", words)
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    kept = {r.id for r in line_dedup._may_meet(rows, rows.filter("id % 100 = 0"), "h").collect()}
+    assert set(range(0, 20_000, 100)) <= kept and (words == 1 or len(kept) < 400)
+
+
+def test_line_dedup_deals_only_lines_that_meet(spark):
+    """Of lines that share no bucket, neither bands nor texts reach the joins that deal them."""
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60)) for _ in range(300)]
+    lines += [lines[0] + "x"]
+    table = spark.createDataFrame([(s,) for s in lines], "s string").select(F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), "s")
+    plans = {}
+
+    class Plans(Scratch):
+        def write(self, df, name, free=True):
+            plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+            return super().write(df, name, free)
+
+    assert line_dedup.near_lines(table, Plans(spark, "dealt")).count() == 2
+    assert all("Join LeftSemi" in plans[name] for name in ("found", "texts"))
+
+
 def test_line_dedup_rows(docs, empty):
     out = line_dedup.dedup_lines(docs)
     assert out.count() == docs.count() and out.filter("text is null").count() == 2

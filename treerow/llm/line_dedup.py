@@ -25,6 +25,8 @@ SMALL = 32
 LISTED = 1 << 15
 #: Words of 64 bits, each the parities of a line's shingles that fall on it: those in which two lines' words differ bound their shingles apart.
 WORDS = 16
+#: Words of 64 bits of the bitmap that keeps rows that nothing meets from being dealt; a full one keeps fewer back, and loses nothing.
+FILTER = 1 << 18
 _STEP = 4096
 
 
@@ -93,6 +95,13 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return mins.select("h1", "h2", sketch.alias("sketch"), *(F.xxhash64(F.lit(b), *(f"m{k}" for k in ks)).alias(f"b{b}") for b, ks in enumerate(BANDS)))
 
 
+def _may_meet(rows: DataFrame, others: DataFrame, by: str) -> DataFrame:
+    """rows without those whose hash ``by`` is surely in none of the others, by a bitmap of fixed size; a join has to follow."""
+    word, bit = F.shiftrightunsigned(by, 6).bitwiseAND(FILTER - 1), F.expr(f"shiftleft(1L, cast({by} & 63 as int))")
+    bitmap = F.broadcast(others.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits")))
+    return rows.join(bitmap, (word == F.col("__word")) & (F.col("__bits").bitwiseAND(bit) != 0), "left_semi")
+
+
 def _sizes_fit() -> Column:
     """Whether the numbers of shingles n and n_b allow the similarity."""
     return SIMILAR[1] * F.least("n", "n_b") >= SIMILAR[0] * F.greatest("n", "n_b")
@@ -199,13 +208,13 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
         signed = scratch.write(_signatures(lines), "signatures")
     rows = signed.select("h1", "h2", "sketch", F.explode(F.array(*(f"b{b}" for b in range(len(BANDS))))).alias("bucket"))
     often = scratch.write(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "often")
-    met = rows.join(often.hint("shuffle_hash"), "bucket")
+    met = _may_meet(rows, often, "bucket").join(often.hint("shuffle_hash"), "bucket")
     # a line's buckets are few; a line that meets most others is the likeliest original of a group of copies
     found = met.groupBy("h1", "h2").agg(F.first("sketch").alias("sketch"), F.sum("n").alias("w"), F.collect_list("bucket").alias("buckets"))
     found = scratch.write(found.select(_id("h1", "h2").alias("x"), "h1", "h2", "sketch", "w", "buckets"), "found")
     scratch.drop("signatures", "often")
     named = found.select(F.col("x"), "h1", "h2")
-    texts = scratch.write(lines.join(named.hint("shuffle_hash"), ["h1", "h2"]).select("x", "s").dropDuplicates(["x"]), "texts")
+    texts = scratch.write(_may_meet(lines, named, "h1").join(named.hint("shuffle_hash"), ["h1", "h2"]).select("x", "s").dropDuplicates(["x"]), "texts")
     members = found.select(F.explode("buckets").alias("bucket"), "x", "w")
 
     def compared(pairs: DataFrame) -> DataFrame:
