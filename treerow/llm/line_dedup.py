@@ -162,7 +162,8 @@ def _met_in_large(placed: DataFrame, known: DataFrame, found: DataFrame, stars:
     place = F.struct(F.coalesce(-F.col("r"), F.lit(-65)).alias("r"), "m", "key")
     # an intersection keeps the order of its first array: a line's shared shingles in the order of the bucket, without a row for each
     lists = ranked.filter("listed").groupBy("bucket").agg(F.sort_array(F.collect_list(place)).alias("l"))
-    lists = lists.select("bucket", F.col("l.key").alias("ranks"), F.expr("filter(l, s -> s.r > -65)").alias("top"))
+    # a table of its own, so that the join can split a very large bucket
+    lists = scratch.write(lists.select("bucket", F.col("l.key").alias("ranks"), F.expr("filter(l, s -> s.r > -65)").alias("top")), "lists")
     bits = F.expr("transform(array(array_intersect(top.key, keys)), had -> aggregate(top, 0L, (b, s) -> if(array_contains(had, s.key), b | shiftleft(1L, -s.r - 1), b)))[0]")
     whole = rows.select("bucket", "x", "keys").join(lists, "bucket").select("bucket", "x", F.array_intersect("ranks", "keys").alias("shared"), bits.alias("bits"))
     single = rows.join(ranked.filter("not listed").select("bucket").distinct(), "bucket").select("bucket", "x", F.explode("keys").alias("key"))
@@ -171,16 +172,15 @@ def _met_in_large(placed: DataFrame, known: DataFrame, found: DataFrame, stars:
     )
     single = scratch.write(single.withColumn("shared", F.col("shared.key")), "shared_singly")
     shared = scratch.write(whole.union(single).filter("size(shared) > 0").withColumn("often", F.bit_count("bits")), "shared")
-    word = lambda j: F.bit_xor(F.when(F.shiftright("key", 6).bitwiseAND(WORDS - 1) == j, F.expr("shiftleft(1L, cast(key & 63 as int))")).otherwise(0))
-    odd = each.groupBy("bucket", "x").agg(*(word(j).alias(f"w{j}") for j in range(WORDS))).select("bucket", "x", F.array(*(f"w{j}" for j in range(WORDS))).alias("odd"))
-    rows = rows.drop("keys", "u", "ru").join(shared, ["bucket", "x"]).withColumn("rare", F.col("d") - F.col("often")).withColumn("alone", F.expr("d - size(shared)"))
+    odd = f"transform(sequence(0, {WORDS - 1}), j -> aggregate(filter(keys, k -> (shiftright(k, 6) & {WORDS - 1}) = j), 0L, (w, k) -> w ^ shiftleft(1L, cast(k & 63 as int))))"
+    rows = rows.withColumn("odd", F.expr(odd)).drop("keys", "u", "ru").join(shared, ["bucket", "x"]).withColumn("rare", F.col("d") - F.col("often")).withColumn("alone", F.expr("d - size(shared)"))
     # as the first shingle that two lines share has at least k - 1 others behind it in both
     rows = rows.withColumn("meets", F.expr(f"d - cast(floor((d * {p} + (nc - n) * {q}) / {2 * p}) as int)"))
     rows = rows.withColumn("asks", F.expr(f"if(near, 0, least(d, cast(floor(n * {q} / {low}) as int) + 1))"))
-    rows = rows.filter("greatest(meets, asks) > alone").join(odd, ["bucket", "x"])
+    rows = rows.filter("greatest(meets, asks) > alone")
     rows = rows.select("bucket", "x", "root", "sketch", "bits", "odd", "n", "d", "rare", "near", "meets", "asks", "alone", F.posexplode(F.expr("slice(shared, 1, greatest(meets, asks) - alone)")).alias("i", "key"))
     keys = scratch.write(rows.withColumn("key", F.xxhash64("bucket", "key")).withColumn("i", F.col("i") + F.col("alone")).drop("bucket", "alone"), "keys")
-    scratch.drop("differing", "common", "ranked", "shared_singly", "shared")
+    scratch.drop("differing", "common", "ranked", "lists", "shared_singly", "shared")
     a, b = keys.filter("i < asks").drop("near", "meets", "asks"), keys.filter("i < meets").drop("meets", "asks")
     b = b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns))
     open_ = (F.col("near_b") | (F.col("x") < F.col("x_b"))) & (F.col("root") != F.col("root_b")) & _sizes_fit()
