@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -355,6 +356,45 @@ def test_line_dedup_large_buckets_without_rows_per_shingle(spark, monkeypatch):
     assert by_row == near and near and singly["shared", "rows"] == tables["shared", "rows"] and singly["keys", "rows"] == tables["keys", "rows"]
 
 
+def test_line_dedup_spells_out_only_lines_with_a_partner(spark, monkeypatch):
+    """Lines of a large bucket that no line can be near, by sketch and numbers of shingles, give no row for each shingle; pairs stay."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    passage = " ".join(word() for _ in range(12))
+    lines = [f"{passage} {' '.join(word() for _ in range(20))}" for _ in range(150)]
+    pairs = [(s, s + " " + word()) for s in lines[:6]]
+    lines += [b for _, b in pairs]
+    shingles = {}
+
+    class Counting(Scratch):
+        def write(self, df, name, free=True):
+            out = super().write(df, name, free)
+            if name in ("differing", "paired"):  # what is exploded is the last of them
+                shingles["last"] = out.agg(F.sum(F.size("keys"))).first()[0] or 0
+                shingles[name] = {(r.bucket, r.x): r for r in out.collect()}
+            return out
+
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
+    table = spark.createDataFrame([(s,) for s in lines], "s string").select(F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), "s")
+    number = {(r.h1, r.h2): r.s for r in table.collect()}
+    root = {number[(r.h1, r.h2)]: (r.r1, r.r2) for r in line_dedup.near_lines(table, Counting(spark, "partners")).collect()}
+    assert all(root[a] == root[b] for a, b in pairs)
+    assert 0 < shingles["last"] < 0.9 * sum(len(r.keys) for r in shingles["differing"].values())
+    # every pair of lines of different components that may be near is among what stays
+    all_, kept = shingles["differing"].values(), shingles["paired"]
+    slots = lambda r: [r.sketch >> line_dedup.SLOT * k & (1 << line_dedup.SLOT) - 1 for k in range(line_dedup.HASHES)]
+    for a, b in itertools.combinations(all_, 2):
+        if a.bucket == b.bucket and a.root != b.root and not (a.near and b.near) and sum(x == y for x, y in zip(slots(a), slots(b), strict=True)) >= line_dedup.AGREE:
+            if 5 * min(a.n, b.n) >= 4 * max(a.n, b.n) and 9 * abs(a.d - b.d) <= a.n + b.n:
+                assert (a.bucket, a.x) in kept and (b.bucket, b.x) in kept
+
+
+def test_quads_meet_all_lines_that_agree():
+    """Any AGREE of the slots hold one of QUADS whole."""
+    for slots in itertools.combinations(range(line_dedup.HASHES), line_dedup.AGREE):
+        assert any(set(q) <= set(slots) for q in line_dedup.QUADS)
+
+
 @pytest.mark.parametrize("words", [1, 1 << 18])
 def test_rows_that_nothing_meets_are_not_dealt(spark, monkeypatch, words):
     monkeypatch.setattr(line_dedup, "FILTER", words)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +20,8 @@ HASHES = 12
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
 #: Bits of each min-hash in a line's sketch, and the min-hashes that must agree where many lines of a bucket are apart (0.98 do at the threshold).
 SLOT, AGREE = 5, 7
+#: Fours of slots, one of which at least is among any AGREE slots: of seven, four are in one half.
+QUADS = tuple(q for half in (range(6), range(6, 12)) for q in combinations(half, 4))
 #: Lines of a bucket, still apart, up to which they are compared with each other; in larger ones only those that share a rare shingle are.
 SMALL = 32
 #: Shared shingles of a large bucket up to which each of its lines meets them as one array; those of a larger one are joined shingle by shingle.
@@ -117,6 +120,28 @@ def _met_in_small(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataF
     return pairs.select(F.least("x", "x_b").alias("u"), F.greatest("x", "x_b").alias("v"))
 
 
+def _may_pair(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (bucket, x, root, sketch, n, d, near) without the lines that surely have no partner in their bucket.
+
+    Of AGREE equal slots at least one of QUADS is among, so partners share its bits. Where up to SMALL lines of a bucket do,
+    they are held against each other by what a pair must fulfil anyway; where more do, all of them stay: a line costs
+    a bounded number of comparisons, and no pair is lost.
+    """
+    low, high = SIMILAR
+    quads = F.array(*(F.xxhash64(F.lit(i), F.col("sketch").bitwiseAND(F.lit(sum((1 << SLOT) - 1 << SLOT * k for k in q)))) for i, q in enumerate(QUADS)))
+    slots = rows.select("bucket", "x", "root", "sketch", "n", "d", "near", F.explode(quads).alias("quad"))
+    heads = slots.groupBy("bucket", "quad").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("lines"), F.count_if(~F.col("near")).alias("asking"))
+    # a table of its own, so that the join can split a quad that very many lines share
+    heads = scratch.write(heads.filter("a <> z and asking > 0").select("bucket", "quad", "lines"), "quads")
+    crowded = slots.join(heads.filter(F.col("lines") > SMALL), ["bucket", "quad"]).select("bucket", "x")
+    few = slots.join(heads.filter(F.col("lines") <= SMALL), ["bucket", "quad"]).drop("lines")
+    b = few.select(*(F.col(c).alias(f"{c}_b") for c in few.columns))
+    by_d = F.abs(F.col("d") - F.col("d_b")) * (low + high) <= (F.col("n") + F.col("n_b")) * (high - low)  # of partners, all but so many of the shingles are shared
+    fit = (F.col("root") != F.col("root_b")) & ~(F.col("near") & F.col("near_b")) & _sizes_fit() & by_d & _agree("sketch", "sketch_b")
+    met = few.join(b, (F.col("bucket") == F.col("bucket_b")) & (F.col("quad") == F.col("quad_b")) & fit, "left_semi").select("bucket", "x")
+    return rows.join(scratch.write(crowded.union(met).distinct(), "partnered"), ["bucket", "x"], "left_semi")
+
+
 def _met_in_large(placed: DataFrame, known: DataFrame, found: DataFrame, stars: list[DataFrame], grams: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """Pairs (u, v) of lines in large buckets that may be near.
 
@@ -151,6 +176,8 @@ def _met_in_large(placed: DataFrame, known: DataFrame, found: DataFrame, stars:
     # not all lines have been compared with this centre: those near it are to be of its component
     linked = scratch.write(rows.filter("near and root <> ru").select(F.least("x", "u").alias("u"), F.greatest("x", "u").alias("v")), "linked")
     scratch.drop("large", "centres", "marks", "lines")
+    rows = scratch.write(_may_pair(rows, scratch), "paired")
+    scratch.drop("differing", "quads", "partnered")
     each = rows.select("bucket", "x", "near", F.explode("keys").alias("key"))
     # a shingle matters if several lines have it and one of them asks
     common = scratch.write(each.groupBy("bucket", "key").agg(F.count("*").alias("m"), F.count_if(~F.col("near")).alias("asked")).filter("m > 1 and asked > 0").drop("asked"), "common")
@@ -176,11 +203,13 @@ def _met_in_large(placed: DataFrame, known: DataFrame, found: DataFrame, stars:
     rows = rows.withColumn("odd", F.expr(odd)).drop("keys", "u", "ru").join(shared, ["bucket", "x"]).withColumn("rare", F.col("d") - F.col("often")).withColumn("alone", F.expr("d - size(shared)"))
     # as the first shingle that two lines share has at least k - 1 others behind it in both
     rows = rows.withColumn("meets", F.expr(f"d - cast(floor((d * {p} + (nc - n) * {q}) / {2 * p}) as int)"))
-    rows = rows.withColumn("asks", F.expr(f"if(near, 0, least(d, cast(floor(n * {q} / {low}) as int) + 1))"))
+    # and of near lines, neither has more than n q / low shingles that the other lacks
+    most = f"cast(floor(n * {q} / {low}) as int) + 1"
+    rows = rows.withColumn("meets", F.expr(f"least(meets, {most})")).withColumn("asks", F.expr(f"if(near, 0, least(d, {most}))"))
     rows = rows.filter("greatest(meets, asks) > alone")
     rows = rows.select("bucket", "x", "root", "sketch", "bits", "odd", "n", "d", "rare", "near", "meets", "asks", "alone", F.posexplode(F.expr("slice(shared, 1, greatest(meets, asks) - alone)")).alias("i", "key"))
     keys = scratch.write(rows.withColumn("key", F.xxhash64("bucket", "key")).withColumn("i", F.col("i") + F.col("alone")).drop("bucket", "alone"), "keys")
-    scratch.drop("differing", "common", "ranked", "lists", "shared_singly", "shared")
+    scratch.drop("paired", "common", "ranked", "lists", "shared_singly", "shared")
     a, b = keys.filter("i < asks").drop("near", "meets", "asks"), keys.filter("i < meets").drop("meets", "asks")
     b = b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns))
     open_ = (F.col("near_b") | (F.col("x") < F.col("x_b"))) & (F.col("root") != F.col("root_b")) & _sizes_fit()
