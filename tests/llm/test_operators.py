@@ -395,6 +395,19 @@ def test_quads_meet_all_lines_that_agree():
         assert any(set(q) <= set(slots) for q in line_dedup.QUADS)
 
 
+def test_signatures_look_up_a_line_once_for_several_shingles(spark):
+    """Bands and sketches are those of one shingle at a time, at every length, with a row for TOGETHER of them."""
+    rng = random.Random(6)
+    made = ["".join(rng.choice("abcdeé😀") for _ in range(n)) for n in [*range(1, 21), line_dedup._STEP + 6, line_dedup._STEP + 7, line_dedup._STEP + 8, 9001]]
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(made)], "h1 long, s string").withColumn("h2", F.col("h1"))
+    singly = table.select("h1", "s", F.explode(F.expr(line_dedup._grams("s"))).alias("g"))
+    singly = singly.groupBy("h1").agg(*(F.min(F.col("g").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(line_dedup._MASKS)))
+    bands = singly.select("h1", *(F.xxhash64(F.lit(b), *(f"m{k}" for k in ks)).alias(f"b{b}") for b, ks in enumerate(line_dedup.BANDS)))
+    out = line_dedup._signatures(table)
+    same([tuple(r) for r in out.drop("h2", "sketch").collect()], [tuple(r) for r in bands.collect()])
+    assert f"Some({line_dedup.TOGETHER})" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("words", [1, 1 << 18])
 def test_rows_that_nothing_meets_are_not_dealt(spark, monkeypatch, words):
     monkeypatch.setattr(line_dedup, "FILTER", words)

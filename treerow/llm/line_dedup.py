@@ -30,6 +30,8 @@ LISTED = 1 << 15
 WORDS = 16
 #: Words of 64 bits of the bitmap that keeps rows that nothing meets from being dealt; a full one keeps fewer back, and loses nothing.
 FILTER = 1 << 18
+#: Shingles of a line whose least hashes are found before the aggregate looks up the line, once for all of them.
+TOGETHER = 4
 _STEP = 4096
 
 
@@ -90,10 +92,12 @@ def _signatures(lines: DataFrame) -> DataFrame:
     points = lines.select("h1", "h2", F.encode("s", "UTF-16BE").alias("p"))
     points = points.select("h1", "h2", "p", F.greatest(F.expr("cast(octet_length(p) / 2 as int)") - SHINGLE, F.lit(0)).alias("n"))
     steps = points.select("h1", "h2", "p", "n", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(_STEP))).alias("j"))
-    places = steps.select("h1", "h2", "p", F.explode(F.sequence(F.col("j"), F.least(F.col("j") + (_STEP - 1), F.col("n")))).alias("i"))
-    hashes = places.select("h1", "h2", F.expr(f"xxhash64(substring(p, 2 * i + 1, {2 * SHINGLE}))").alias("g"))
+    places = steps.select("h1", "h2", "p", "n", F.explode(F.sequence(F.col("j"), F.least(F.col("j") + (_STEP - 1), F.col("n")), F.lit(TOGETHER))).alias("i"))
+    # past the end the last shingle again, which changes no minimum
+    hashes = places.select("h1", "h2", *(F.expr(f"xxhash64(substring(p, 2 * least(i + {k}, n) + 1, {2 * SHINGLE}))").alias(f"g{k}") for k in range(TOGETHER)))
     # the min-hash of permutation k is the least hash after an exclusive or with a constant
-    mins = hashes.groupBy("h1", "h2").agg(*(F.min(F.col("g").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)))
+    least = [F.least(*(F.col(f"g{k}").bitwiseXOR(F.lit(m)) for k in range(TOGETHER))) for m in _MASKS]
+    mins = hashes.groupBy("h1", "h2").agg(*(F.min(g).alias(f"m{k}") for k, g in enumerate(least)))
     sketch = reduce(lambda p, q: p.bitwiseOR(q), (F.shiftleft(F.xxhash64(f"m{k}").bitwiseAND((1 << SLOT) - 1), SLOT * k) for k in range(HASHES)))
     return mins.select("h1", "h2", sketch.alias("sketch"), *(F.xxhash64(F.lit(b), *(f"m{k}" for k in ks)).alias(f"b{b}") for b, ks in enumerate(BANDS)))
 
