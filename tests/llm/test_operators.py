@@ -395,6 +395,43 @@ def test_quads_meet_all_lines_that_agree():
         assert any(set(q) <= set(slots) for q in line_dedup.QUADS)
 
 
+def test_line_dedup_spells_out_a_sketch_once(spark, monkeypatch):
+    """A line of a large bucket gives one row for each of QUADS, in one table, and is joined with their counts once; crowded sets lose no pair."""
+    rng = random.Random(34)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    passage = " ".join(word() for _ in range(20))
+    lines = [f"{passage} {' '.join(word() for _ in range(14))}" for _ in range(80)]
+    lines += [s + " " + word() for s in lines[:8]]
+    rows, spelled, joined = {}, [], []
+
+    class Plans(Scratch):
+        def write(self, df, name, free=True):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            spelled.extend([name] * len(re.findall(r"Generate explode\(array\(xxhash64\(0, \(sketch", plan)))
+            joined.extend([name] * len(re.findall(r"Join Inner, .*quad#", plan)))
+            out = super().write(df, name, free)
+            if name in ("differing", "slots"):
+                rows[name] = out.count()
+            return out
+
+    def components(crowd):
+        spelled.clear(), joined.clear()
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        return sorted((r.h1, r.h2, r.r1, r.r2) for r in line_dedup.near_lines(table, Plans(spark, "once")).collect())
+
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
+    table = spark.createDataFrame([(s,) for s in lines], "s string").select(F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), "s")
+    near = components(line_dedup.CROWD)
+    assert len(near) >= 16 and rows["differing"] > 40 and rows["slots"] == len(line_dedup.QUADS) * rows["differing"] <= 12 * rows["differing"]
+    assert spelled == ["slots"] and joined == ["meeting"]
+    assert components(1) == near
+
+
+def test_quads_don_t_hold_two_slots_of_a_band():
+    """Lines that meet by a band don't share a set of slots for that alone."""
+    assert not any(len(set(q) & set(band)) > 1 for q in line_dedup.QUADS for band in line_dedup.BANDS)
+
+
 def test_signatures_look_up_a_line_once_for_several_shingles(spark):
     """Bands and sketches are those of one shingle at a time, at every length, with a row for TOGETHER of them."""
     rng = random.Random(6)

@@ -20,10 +20,13 @@ HASHES = 12
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
 #: Bits of each min-hash in a line's sketch, and the min-hashes that must agree where many lines of a bucket are apart (0.98 do at the threshold).
 SLOT, AGREE = 5, 7
-#: Fours of slots, one of which at least is among any AGREE slots: of seven, four are in one half.
-QUADS = tuple(q for half in (range(6), range(6, 12)) for q in combinations(half, 4))
+#: Sets of slots (three; the name is older), one of which at least is among any AGREE slots: of seven, three are in one third.
+#: Each band has one slot in each third, so that lines that meet by a band don't share a set for that alone.
+QUADS = tuple(q for third in ((0, 4, 7, 11), (1, 3, 8, 10), (2, 5, 6, 9)) for q in combinations(third, 3))
 #: Lines of a bucket, still apart, up to which they are compared with each other; in larger ones only those that share a rare shingle are.
 SMALL = 32
+#: Lines of a large bucket that share a set of QUADS up to which they are held against each other: 960 comparisons for a line.
+CROWD = 80
 #: Shared shingles of a large bucket up to which each of its lines meets them as one array; those of a larger one are joined shingle by shingle.
 LISTED = 1 << 15
 #: Words of 64 bits, each the parities of a line's shingles that fall on it: those in which two lines' words differ bound their shingles apart.
@@ -127,18 +130,20 @@ def _met_in_small(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataF
 def _may_pair(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """rows (bucket, x, root, sketch, n, d, near) without the lines that surely have no partner in their bucket.
 
-    Of AGREE equal slots at least one of QUADS is among, so partners share its bits. Where up to SMALL lines of a bucket do,
+    Of AGREE equal slots at least one of QUADS is among, so partners share its bits. Where up to CROWD lines of a bucket do,
     they are held against each other by what a pair must fulfil anyway; where more do, all of them stay: a line costs
-    a bounded number of comparisons, and no pair is lost.
+    a bounded number of comparisons, and no pair is lost. Both tables below are written, so that a line is spelled out once
+    and joined with the counts once.
     """
     low, high = SIMILAR
     quads = F.array(*(F.xxhash64(F.lit(i), F.col("sketch").bitwiseAND(F.lit(sum((1 << SLOT) - 1 << SLOT * k for k in q)))) for i, q in enumerate(QUADS)))
-    slots = rows.select("bucket", "x", "root", "sketch", "n", "d", "near", F.explode(quads).alias("quad"))
+    slots = scratch.write(rows.select("bucket", "x", "root", "sketch", "n", "d", "near", F.explode(quads).alias("quad")), "slots")
     heads = slots.groupBy("bucket", "quad").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("lines"), F.count_if(~F.col("near")).alias("asking"))
     # a table of its own, so that the join can split a quad that very many lines share
     heads = scratch.write(heads.filter("a <> z and asking > 0").select("bucket", "quad", "lines"), "quads")
-    crowded = slots.join(heads.filter(F.col("lines") > SMALL), ["bucket", "quad"]).select("bucket", "x")
-    few = slots.join(heads.filter(F.col("lines") <= SMALL), ["bucket", "quad"]).drop("lines")
+    slots = scratch.write(slots.join(heads, ["bucket", "quad"]), "meeting")
+    crowded = slots.filter(F.col("lines") > CROWD).select("bucket", "x")
+    few = slots.filter(F.col("lines") <= CROWD).drop("lines")
     b = few.select(*(F.col(c).alias(f"{c}_b") for c in few.columns))
     by_d = F.abs(F.col("d") - F.col("d_b")) * (low + high) <= (F.col("n") + F.col("n_b")) * (high - low)  # of partners, all but so many of the shingles are shared
     fit = (F.col("root") != F.col("root_b")) & ~(F.col("near") & F.col("near_b")) & _sizes_fit() & by_d & _agree("sketch", "sketch_b")
@@ -181,7 +186,7 @@ def _met_in_large(placed: DataFrame, known: DataFrame, found: DataFrame, stars:
     linked = scratch.write(rows.filter("near and root <> ru").select(F.least("x", "u").alias("u"), F.greatest("x", "u").alias("v")), "linked")
     scratch.drop("large", "centres", "marks", "lines")
     rows = scratch.write(_may_pair(rows, scratch), "paired")
-    scratch.drop("differing", "quads", "partnered")
+    scratch.drop("differing", "slots", "quads", "meeting", "partnered")
     each = rows.select("bucket", "x", "near", F.explode("keys").alias("key"))
     # a shingle matters if several lines have it and one of them asks
     common = scratch.write(each.groupBy("bucket", "key").agg(F.count("*").alias("m"), F.count_if(~F.col("near")).alias("asked")).filter("m > 1 and asked > 0").drop("asked"), "common")
