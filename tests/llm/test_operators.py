@@ -445,6 +445,45 @@ def test_signatures_look_up_a_line_once_for_several_shingles(spark):
     assert f"Some({line_dedup.TOGETHER})" in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_line_dedup_compares_a_pair_once_in_compiled_code(spark):
+    """Shingles of a pair's lines are made once, as columns; near pairs and their similarity are those of brute force."""
+    rng = random.Random(17)
+    made = ["".join(rng.choice("ab é😀") for _ in range(rng.choice((1, 7, 8, 9, 30, 60)))) for _ in range(30)]
+    made += [s[:-1] for s in made if len(s) > 1] + [s + s[:9] for s in made]
+    utf = [s.encode("utf-16-be") for s in made]
+    grams = [{b[i : i + 16] for i in range(0, max(2, len(b) - 14), 2)} for b in utf]
+    pairs = list(itertools.combinations(range(len(made)), 2))
+    table = spark.createDataFrame([(a, b, made[a], made[b]) for a, b in pairs], "u long, v long, su string, sv string")
+    out = line_dedup._near_pairs(table)
+    want = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a, b in pairs if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])}
+    assert {(r.u, r.v): r.alike for r in out.collect()} == want and len(want) > 20
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(substring(") == 2 and "lambdafunction(struct" not in plan
+    # the words on which shingles fall never tell near lines apart, and tell most others apart
+    words = line_dedup._words(spark.createDataFrame(list(enumerate(made)), "x long, s string"))
+    two = words.withColumnRenamed("x", "u").crossJoin(words.select(*(F.col(c).alias("v" if c == "x" else f"{c}_b") for c in words.columns))).filter("u < v")
+    may = {(r.u, r.v) for r in two.filter(line_dedup._may_be_near()).select("u", "v").collect()}
+    assert set(want) <= may and len(may) < len(pairs) / 4
+
+
+def test_line_dedup_makes_lower_case_of_a_text_once(spark):
+    """In the tables of lines, a text is split and put in lower case in one place of the plan; a word that ends its line is one that ends its text."""
+    made = [(1, "ΟΔΟΣ\nx"), (2, "ΟΔΟΣ"), (3, "οδος"), (4, "  İSTANBUL  \nΣ\n\n"), (5, " i\u0307stanbul"), (6, "")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    plans = {}
+    was = Scratch.write
+
+    def write(self, df, name, free=True):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return was(self, df, name, free)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Scratch, "write", write)
+        out = {r.doc_id: (r.text, r["__n_kept"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(plans[name].count("lower(") == 1 for name in ("signatures", "places"))
+    assert out == {1: ("ΟΔΟΣ\nx", 2), 2: ("", 0), 3: ("", 0), 4: ("  İSTANBUL  \nΣ\n\n", 4), 5: ("", 0), 6: ("", 1)}
+
+
 @pytest.mark.parametrize("words", [1, 1 << 18])
 def test_rows_that_nothing_meets_are_not_dealt(spark, monkeypatch, words):
     monkeypatch.setattr(line_dedup, "FILTER", words)

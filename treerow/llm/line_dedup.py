@@ -30,11 +30,12 @@ CROWD = 80
 #: Shared shingles of a large bucket up to which each of its lines meets them as one array; those of a larger one are joined shingle by shingle.
 LISTED = 1 << 15
 #: Words of 64 bits, each the parities of a line's shingles that fall on it: those in which two lines' words differ bound their shingles apart.
+#: As many have the bits that any shingle falls on, which needs no distinct shingles and bounds them likewise.
 WORDS = 16
 #: Words of 64 bits of the bitmap that keeps rows that nothing meets from being dealt; a full one keeps fewer back, and loses nothing.
 FILTER = 1 << 18
-#: Shingles of a line whose least hashes are found before the aggregate looks up the line, once for all of them.
-TOGETHER = 4
+#: Shingles of a line, a power of two, whose least hashes are found before the aggregate looks up the line, once for all of them.
+TOGETHER = 8
 _STEP = 4096
 
 
@@ -67,19 +68,26 @@ def _grams(line: str) -> str:
     return f"transform(array(encode({line}, 'UTF-16BE')), p -> transform(sequence(1, greatest(octet_length(p) - {2 * SHINGLE - 1}, 1), 2), i -> xxhash64(substring(p, i, {2 * SHINGLE}))))[0]"
 
 
-def _shared(a: str, b: str) -> Column:
-    """(both, any): the shingles that two lines have in common, and those that either has."""
-    return F.expr(f"transform(array(struct({_grams(a)} as x, {_grams(b)} as y)), g -> struct(size(array_intersect(g.x, g.y)) as both, size(array_union(g.x, g.y)) as any))[0]")
+def _near_pairs(pairs: DataFrame) -> DataFrame:
+    """(u, v, alike) of the rows (u, v, su, sv) whose lines su and sv are near; alike is their similarity.
+
+    The distinct shingles are columns, so that compiled code meets them: within a lambda, sets are made of boxed objects.
+    The numbers come from a generator, as a filter on a projection's columns would compute them once for each mention.
+    """
+    grams = pairs.select("u", "v", F.expr(f"array_distinct({_grams('su')})").alias("gu"), F.expr(f"array_distinct({_grams('sv')})").alias("gv"))
+    counts = grams.select("u", "v", F.inline(F.array(F.struct(F.size("gu").alias("n"), F.size("gv").alias("n_b"), F.size(F.array_except("gu", "gv")).alias("only")))))
+    near = counts.select("u", "v", F.expr("n - only").alias("both"), F.expr("n_b + only").alias("any")).filter(f"both * {SIMILAR[1]} >= any * {SIMILAR[0]}")
+    return near.select("u", "v", F.expr("both / any").alias("alike"))
 
 
-def _may_be_near(n: str, a: str, m: str, b: str) -> str:
-    """SQL: false only where two lines can't be near, by their numbers of shingles and sets of shortened hashes.
+def _may_be_near() -> Column:
+    """False only where the lines of words w0, ... and w0_b, ..., of n and n_b shingles with repeats, can't be near.
 
-    A shortened hash that only one line has stands for a shingle, at least, that the other lacks. That bounds
-    the shingles in common from above, so no near pair is lost.
+    A bit that only one line's words have stands for a shingle, at least, that the other lacks. Near lines differ by
+    a ninth of their distinct shingles at most, of which n and n_b are upper bounds, so no near pair is lost.
     """
-    common = f"least({n} - size({a}) + c, {m} - size({b}) + c)"
-    return f"transform(array(size(array_intersect({a}, {b}))), c -> {common} * {SIMILAR[0] + SIMILAR[1]} >= ({n} + {m}) * {SIMILAR[0]})[0]"
+    apart = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"w{j}").bitwiseXOR(F.col(f"w{j}_b"))) for j in range(WORDS)))
+    return apart * (SIMILAR[0] + SIMILAR[1]) <= (F.col("n") + F.col("n_b")) * (SIMILAR[1] - SIMILAR[0])
 
 
 def _agree(a: str, b: str) -> Column:
@@ -90,14 +98,27 @@ def _agree(a: str, b: str) -> Column:
     return F.bit_count(folded.bitwiseAND(F.lit(sum(1 << SLOT * k for k in range(HASHES))))) <= HASHES - AGREE
 
 
+def _hashed(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, g0, g1, ...): of lines s of n + 1 shingles, the hashes of TOGETHER shingles a row."""
+    points = lines.select(*keys, F.encode("s", "UTF-16BE").alias("p"))
+    points = points.select(*keys, "p", F.greatest(F.expr("cast(octet_length(p) / 2 as int)") - SHINGLE, F.lit(0)).alias("n"))
+    steps = points.select(*keys, "p", "n", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(_STEP))).alias("j"))
+    places = steps.select(*keys, "p", "n", F.explode(F.sequence(F.col("j"), F.least(F.col("j") + (_STEP - 1), F.col("n")), F.lit(TOGETHER))).alias("i"))
+    # past the end the last shingle again, which changes no minimum and no set; on bits, as sums and products are checked for overflow
+    return places.select(*keys, "n", *(F.expr(f"xxhash64(substring(p, shiftleft(least(i | {k}, n), 1) | 1, {2 * SHINGLE}))").alias(f"g{k}") for k in range(TOGETHER)))
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """(x, n, w0, w1, ...): the number of shingles, with repeats, and the bits of WORDS words on which a shingle of the line x falls."""
+    of = lambda k: [F.shiftrightunsigned(f"g{k}", 6).bitwiseAND(WORDS - 1).alias(f"j{k}"), F.expr(f"shiftleft(1L, cast(g{k} & 63 as int))").alias(f"b{k}")]
+    bits = _hashed(texts, "x").select("x", (F.col("n") + 1).alias("n"), *(c for k in range(TOGETHER) for c in of(k)))
+    word = lambda j: reduce(lambda p, q: p.bitwiseOR(q), (F.when(F.col(f"j{k}") == j, F.col(f"b{k}")).otherwise(0) for k in range(TOGETHER)))
+    return bits.groupBy("x", "n").agg(*(F.bit_or(word(j)).alias(f"w{j}") for j in range(WORDS)))
+
+
 def _signatures(lines: DataFrame) -> DataFrame:
     """(h1, h2, sketch, b0, b1, ...) of each distinct line: hashes of its bands, and SLOT bits of each min-hash."""
-    points = lines.select("h1", "h2", F.encode("s", "UTF-16BE").alias("p"))
-    points = points.select("h1", "h2", "p", F.greatest(F.expr("cast(octet_length(p) / 2 as int)") - SHINGLE, F.lit(0)).alias("n"))
-    steps = points.select("h1", "h2", "p", "n", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(_STEP))).alias("j"))
-    places = steps.select("h1", "h2", "p", "n", F.explode(F.sequence(F.col("j"), F.least(F.col("j") + (_STEP - 1), F.col("n")), F.lit(TOGETHER))).alias("i"))
-    # past the end the last shingle again, which changes no minimum
-    hashes = places.select("h1", "h2", *(F.expr(f"xxhash64(substring(p, 2 * least(i + {k}, n) + 1, {2 * SHINGLE}))").alias(f"g{k}") for k in range(TOGETHER)))
+    hashes = _hashed(lines, "h1", "h2")
     # the min-hash of permutation k is the least hash after an exclusive or with a constant
     least = [F.least(*(F.col(f"g{k}").bitwiseXOR(F.lit(m)) for k in range(TOGETHER))) for m in _MASKS]
     mins = hashes.groupBy("h1", "h2").agg(*(F.min(g).alias(f"m{k}") for k, g in enumerate(least)))
@@ -117,13 +138,13 @@ def _sizes_fit() -> Column:
     return SIMILAR[1] * F.least("n", "n_b") >= SIMILAR[0] * F.greatest("n", "n_b")
 
 
-def _met_in_small(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of lines in small buckets that may be near; ``sets`` has x, n and the set of shortened hashes."""
-    rows = placed.drop("lines").join(found.select("x", "sketch").join(sets, "x"), "x")
+def _met_in_small(placed: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (u, v) of lines in small buckets that may be near; ``words`` is of ``_words``."""
+    rows = placed.drop("lines").join(found.select("x", "sketch").join(words, "x"), "x")
     a, b = rows.filter("not near"), rows.select(*(F.col(c).alias(f"{c}_b") for c in rows.columns))
     once = F.col("near_b") | (F.col("x") < F.col("x_b"))
-    open_ = once & (F.col("root") != F.col("root_b")) & _agree("sketch", "sketch_b") & _sizes_fit()
-    pairs = a.join(b, (F.col("bucket") == F.col("bucket_b")) & F.when(open_, F.expr(_may_be_near("n", "set", "n_b", "set_b"))).otherwise(False))
+    open_ = once & (F.col("root") != F.col("root_b")) & _agree("sketch", "sketch_b")
+    pairs = a.join(b, (F.col("bucket") == F.col("bucket_b")) & F.when(open_, _may_be_near()).otherwise(False))
     return pairs.select(F.least("x", "x_b").alias("u"), F.greatest("x", "x_b").alias("v"))
 
 
@@ -238,8 +259,8 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     it with the line most like it, which is nearer to the middle of a family of copies; lines still apart are
     compared with the shortest of them. These links give components. Only buckets that then still
     hold lines of several components are looked at again, for pairs of different components whose sketches
-    agree in AGREE min-hashes. Up to SMALL lines, a bucket's lines meet each other, and sets of shortened
-    shingle hashes prove most pairs apart. In a larger bucket lines meet only by shingles that are unusual
+    agree in AGREE min-hashes. Up to SMALL lines, a bucket's lines meet each other. Words of the bits on
+    which their shingles fall prove most pairs apart, those with centres too. In a larger bucket lines meet only by shingles that are unusual
     in it, which near lines must share if one isn't near the centre. What is left is compared exactly.
     """
     with _one_level_maps(scratch.spark):
@@ -255,17 +276,21 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.write(_may_meet(lines, named, "h1").join(named.hint("shuffle_hash"), ["h1", "h2"]).select("x", "s").dropDuplicates(["x"]), "texts")
     members = found.select(F.explode("buckets").alias("bucket"), "x", "w")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """(u, v, g): the shingles that the lines of each pair share."""
-        both = pairs.join(texts.select(F.col("x").alias("v"), F.col("s").alias("sv")), "v").join(texts.select(F.col("x").alias("u"), F.col("s").alias("su")), "u")
-        return both.select("u", "v", _shared("su", "sv").alias("g"))
+    with _one_level_maps(scratch.spark):
+        words = scratch.write(_words(texts), "words")
+
+    def near_pairs(pairs: DataFrame) -> DataFrame:
+        """(u, v, alike) of the pairs (u, v) that are near; only those that may be, by their words, meet their texts."""
+        two = pairs.join(words.withColumnRenamed("x", "u"), "u").join(words.select(*(F.col(c).alias("v" if c == "x" else f"{c}_b") for c in words.columns)), "v")
+        two = two.filter(_may_be_near()).select("u", "v")
+        return _near_pairs(two.join(texts.select(F.col("x").alias("v"), F.col("s").alias("sv")), "v").join(texts.select(F.col("x").alias("u"), F.col("s").alias("su")), "u"))
 
     def star(rows: DataFrame, centres: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Each row's line against its bucket's centre (bucket, u), if there is one: the near pairs, and (bucket, u, x, near, centre, alike)."""
         centres = scratch.write(centres, f"{name}_centres")
         pairs = scratch.write(rows.select("bucket", F.col("x").alias("v")).join(centres, "bucket", "left"), f"{name}_pairs")
         wanted = pairs.filter("u <> v").select("u", "v").distinct()
-        links = scratch.write(compared(wanted).filter(f"g.both * {SIMILAR[1]} >= g.any * {SIMILAR[0]}").select("u", "v", F.expr("g.both / g.any").alias("alike")), name)
+        links = scratch.write(near_pairs(wanted), name)
         out = pairs.join(links, ["u", "v"], "left")
         centre = F.coalesce(F.col("u") == F.col("v"), F.lit(False))
         out = out.select("bucket", "u", F.col("v").alias("x"), (F.col("alike").isNotNull() | centre).alias("near"), centre.alias("centre"), "alike")
@@ -293,14 +318,10 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
         """(x, n, g): the shingles of the lines x and their number."""
         return texts.join(wanted, "x").select("x", F.expr(f"array_distinct({_grams('s')})").alias("g")).select("x", F.size("g").alias("n"), "g")
 
-    # shortened hashes are all that small buckets need
-    short = F.expr("array_distinct(transform(g, v -> cast(v & 32767 as smallint)))")
-    sets = scratch.write(grams(placed.filter(~large).select("x").distinct()).select("x", "n", short.alias("set")), "sets")
-    more = scratch.write(_met_in_small(placed.filter(~large), found, sets).distinct(), "met_in_small")
-    scratch.drop("sets")
+    more = scratch.write(_met_in_small(placed.filter(~large), found, words).distinct(), "met_in_small")
     more = more.union(scratch.write(_met_in_large(placed.filter(large), known, found, [second_rows, third_rows], grams, scratch).distinct(), "met_in_large"))
     scratch.drop("linked", "keys")
-    more = scratch.write(compared(more.distinct()).filter(f"g.both * {SIMILAR[1]} >= g.any * {SIMILAR[0]}").select("u", "v"), "more")
+    more = scratch.write(near_pairs(more.distinct()).select("u", "v"), "more")
     scratch.drop("roots", "several", "apart", "met_in_small", "met_in_large")
     edges = known.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v")).union(more)
     parts = connected_components(edges, scratch, "components")
@@ -321,8 +342,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(docs.sparkSession, "lines")
     text = F.col(f"`{text_col}`")
     h = F.xxhash64(text)
-    rows = docs.filter(text.isNotNull()).select(F.col(f"`{id_col}`").alias("d"), h.alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("line", "s"))
-    rows = rows.withColumn("s", F.lower(F.trim("s"))).filter("s <> ''")
+    # lower case is of whole texts, once: of a line, the filter would make it again. A line feed ends a word as an end of text does.
+    # outer, as otherwise Spark splits texts again to leave out empty arrays; there are none
+    rows = docs.filter(text.isNotNull()).select(F.col(f"`{id_col}`").alias("d"), h.alias("h"), F.posexplode_outer(F.split(F.lower(text), "\n", -1)).alias("line", "s"))
+    rows = rows.withColumn("s", F.trim("s")).filter("s <> ''")
     lines = rows.select("d", "h", "line", "s", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"))
     near = near_lines(lines.select("h1", "h2", "s"), scratch)
     scratch.drop_all_but("near")
